@@ -34,7 +34,7 @@ _W2 = "replace(replace(split_part(text, ' ', 2), '.', ''), ',', '')"
 _PAD = f"lpad(cast(conv_id % 10000 AS string), 4, '0')"
 _BODY = (
     f"concat(text, CASE turn % 3 WHEN 0 THEN concat({NL}, 'Call 1 555 010 ', {_PAD}) "
-    f"WHEN 1 THEN concat({NL}, 'See ', cast(18 + conv_id % 73 AS string), ' [1] card AB ', {_PAD}, ' 77') ELSE '' END)"
+    f"WHEN 1 THEN concat({NL}, 'See ', cast(18 + conv_id % 73 AS string), ' card AB ', {_PAD}, ' 77 [1] and more') ELSE '' END)"
 )
 _LABEL1 = case(
     "(conv_id + turn) % 8",
