@@ -96,33 +96,48 @@ def money_text(sign: Column, amount: Column) -> Column:
 
 
 class _Pools:
-    """Draws values from the pool tables: a broadcast join where they are small, else a shuffle."""
+    """Draws values from the pool tables.
+
+    Small pools travel as one broadcast row per locale, so a draw is an array
+    look-up and a draw nobody reads costs nothing. Larger pools are joined on
+    (locale, kind, ordinal).
+    """
 
     def __init__(self, pools: DataFrame):
         self.pools = pools
-        self.side = F.broadcast if fits(pools, POOL_ROWS) else (lambda df: df)
-
-    def add_counts(self, df: DataFrame) -> DataFrame:
-        kinds = self.pools.groupBy("locale", "kind").agg((F.max("ordinal") + 1).alias("n"))
-        # one row per locale; a map entry per kind
-        counts = kinds.groupBy("locale").agg(
-            F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("_counts")
+        self.small = fits(pools, POOL_ROWS)
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        if self.small:
+            ordered = F.array_sort(F.collect_list(F.struct("ordinal", "value")))
+            kinds = self.pools.groupBy("locale", "kind").agg(
+                F.transform(ordered, lambda x: x["value"]).alias("held")
+            )
+        else:
+            kinds = self.pools.groupBy("locale", "kind").agg(
+                (F.max("ordinal") + 1).alias("held")
+            )
+        # one row per locale, one map entry per kind
+        by_locale = kinds.groupBy("locale").agg(
+            F.map_from_entries(F.collect_list(F.struct("kind", "held"))).alias("_pools")
         )
-        return df.join(F.broadcast(counts), "locale", "left")
+        return df.join(F.broadcast(by_locale), "locale", "left")
 
     def draw(self, df: DataFrame, out: str, kind, salt: str | None = None) -> DataFrame:
         kind = kind if isinstance(kind, Column) else F.lit(kind)
-        n = F.try_element_at(F.col("_counts"), kind)
+        held = F.try_element_at(F.col("_pools"), kind)
+        point = uniform(KEY, salt or out)
+        if self.small:
+            place = F.floor(point * F.size(held)).cast("int")
+            return df.withColumn(out, F.get(held, place))
         values = self.pools.select(
             "locale",
             F.col("kind").alias("_kind"),
             F.col("ordinal").cast("bigint").alias("_ordinal"),
             F.col("value").alias(out),
         )
-        placed = df.withColumns(
-            {"_kind": kind, "_ordinal": F.floor(uniform(KEY, salt or out) * n)}
-        )
-        return placed.join(self.side(values), ["locale", "_kind", "_ordinal"], "left").drop(
+        placed = df.withColumns({"_kind": kind, "_ordinal": F.floor(point * held)})
+        return placed.join(values, ["locale", "_kind", "_ordinal"], "left").drop(
             "_kind", "_ordinal"
         )
 
@@ -491,7 +506,7 @@ def _letter(salt: str) -> Column:
 def generate_profiles(keys: DataFrame, pools: DataFrame, jobs: DataFrame, asof: date) -> DataFrame:
     """A full profile for every row of keys(profile_key, locale). Runs size checks of pools and jobs."""
     drawn = _Pools(pools)
-    out = drawn.add_counts(keys)
+    out = drawn.attach(keys)
     out = add_person(out, drawn, asof)
     out = add_family(out, drawn)
     out = add_work(out, jobs)

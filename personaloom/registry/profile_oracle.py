@@ -194,7 +194,7 @@ _steps = [
     ("keys", X.KEYS_SQL),
     (
         "t1",
-        f"SELECT *, {fixed('gender', C.GENDERS)} AS gender, (DATE '1934-04-18' + {whole('birth', 1, 33238)}::INTEGER)::DATE AS born "
+        f"SELECT *, {fixed('gender', C.GENDERS)} AS gender, (DATE '1934-04-18' + (1 + floor({u('birth')} * (DATE '2007-04-18' - DATE '1934-04-18')))::INTEGER)::DATE AS born "
         "FROM keys t",
     ),
     (
