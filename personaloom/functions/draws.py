@@ -66,9 +66,11 @@ def weighted_choice(draw: Column, values: Sequence, weights: Sequence) -> Column
     return last if choice is None else choice.otherwise(last)
 
 
-def pick(draw: Column, values: Sequence) -> Column:
+def pick(draw: Column, values: Sequence[str]) -> Column:
     """Pick one of a few constants with equal probability."""
-    return weighted_choice(draw, values, [1.0] * len(values))
+    mark = "\n"
+    listed = F.split(F.lit(mark.join(values)), mark)
+    return F.get(listed, F.floor(draw * F.lit(len(values))).cast("int"))
 
 
 def _number(v) -> Column:

@@ -368,10 +368,9 @@ def email_address() -> Column:
     which = whole_between(KEY, "email_format", 0, len(formats) - 1)
     named = F.regexp_replace(_nth(which, formats), "[^a-z0-9._]", "")
     user = F.when(uniform(KEY, "email_opaque") < 0.2, F.col("_user")).otherwise(named)
-    domain = None
+    u, domain = uniform(KEY, "email_domain"), None
     for locale, names in C.EMAIL_DOMAINS.items():
-        hit = F.col("locale") == locale
-        choice = pick(uniform(KEY, "email_domain"), names.split())
+        hit, choice = F.col("locale") == locale, pick(u, names.split())
         domain = F.when(hit, choice) if domain is None else domain.when(hit, choice)
     return F.concat(user, F.lit("@"), domain)
 
@@ -383,53 +382,72 @@ def _nth(which: Column, values: list[Column]) -> Column:
     return out.otherwise(values[-1])
 
 
-def social_handle(slot: int, platform: Column) -> Column:
-    """A handle made from the names, 20 characters at most, with a leading @."""
-    first, last = _compact("first_name"), _compact("last_name")
-    initial = F.substring(first, 1, 1)
+def social_handle(slot: int) -> Column:
+    """A handle made from the names, 20 characters at most, with a leading @.
+
+    Reads the stored columns _first and _last (lower-case names without
+    blanks) and _platform<slot>.
+    """
+    first, last = F.col("_first"), F.col("_last")
+    initial, low, dot = F.substring(first, 1, 1), F.lit("_"), F.lit(".")
     three = whole_between(KEY, f"handle_three{slot}", 1, 999).cast("string")
     two = whole_between(KEY, f"handle_two{slot}", 1, 99).cast("string")
-    formal = [F.concat(first, last), F.concat(first, F.lit("."), last), F.concat(initial, last)]
+    formal = [F.concat(first, last), F.concat(first, dot, last), F.concat(initial, last)]
     formats = [
         formal[0],
         formal[1],
-        F.concat(first, F.lit("_"), last),
+        F.concat(first, low, last),
         formal[2],
         F.concat(last, initial),
         F.concat(first, three),
         F.concat(last, three),
-        F.concat(first, F.lit("_"), two),
-        F.concat(last, F.lit("_"), two),
+        F.concat(first, low, two),
+        F.concat(last, low, two),
     ]
     anyone = _nth(whole_between(KEY, f"handle_format{slot}", 0, 8), formats)
     proper = _nth(whole_between(KEY, f"handle_formal{slot}", 0, 2), formal)
-    formal_wanted = (platform == "LinkedIn") & (uniform(KEY, f"handle_pro{slot}") < 0.7)
+    linked_in = F.col(f"_platform{slot}") == "LinkedIn"
+    formal_wanted = linked_in & (uniform(KEY, f"handle_pro{slot}") < 0.7)
     handle = F.when(formal_wanted, proper).otherwise(anyone)
     return F.concat(F.lit("@"), F.substring(handle, 1, 20))
 
 
-def handles_text() -> Column:
+def add_handles(df: DataFrame) -> DataFrame:
     """0 to 4 platforms drawn with replacement, as Python dict text; a repeated one keeps its last handle."""
+    slots = range(1, 5)
+    staged = df.withColumns(
+        {
+            "_first": _compact("first_name"),
+            "_last": _compact("last_name"),
+            **{
+                f"_platform{i}": weighted_choice(uniform(KEY, f"platform{i}"), *C.PLATFORMS)
+                for i in slots
+            },
+        }
+    )
     n = whole_between(KEY, "platforms", 0, 4)
-    slots = []
-    for i in range(1, 5):
-        platform = weighted_choice(uniform(KEY, f"platform{i}"), *C.PLATFORMS)
-        pair = F.struct(platform.alias("p"), social_handle(i, platform).alias("h"))
-        slots.append(F.when(n >= i, pair))
-    pairs = F.array_compact(F.array(*slots))
-    names = F.array_distinct(F.transform(pairs, lambda x: x["p"]))
+    pairs = [
+        F.when(n >= i, F.struct(F.col(f"_platform{i}").alias("p"), social_handle(i).alias("h")))
+        for i in slots
+    ]
+    staged = staged.withColumn("_handles", F.array_compact(F.array(*pairs)))
+    held = F.col("_handles")
 
     def entry(name):
-        handle = F.element_at(F.filter(pairs, lambda x: x["p"] == name), -1)["h"]
+        handle = F.element_at(F.filter(held, lambda x: x["p"] == name), -1)["h"]
         mark = F.when(F.contains(handle, F.lit("'")), '"').otherwise("'")
         return F.concat(F.lit("'"), name, F.lit("': "), mark, handle, mark)
 
-    return F.concat(F.lit("{"), F.array_join(F.transform(names, entry), ", "), F.lit("}"))
+    names = F.array_distinct(F.transform(held, lambda x: x["p"]))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(names, entry), ", "), F.lit("}"))
+    return staged.withColumn("social_media_handles", text).drop(
+        "_first", "_last", "_handles", *[f"_platform{i}" for i in slots]
+    )
 
 
 def add_contacts(df: DataFrame, pools: _Pools) -> DataFrame:
     """Employer, addresses, phones, ids, handles, health and emergency contact."""
-    out = df
+    out = add_handles(df)
     for column, kind in (
         ("_user", "user"), ("_company", "company"), ("_suffix", "company_suffix"), ("_tld", "tld"),
         ("_address", "address"), ("birth_city", "city"), ("_helper_last", "last"),
@@ -482,7 +500,6 @@ def add_contacts(df: DataFrame, pools: _Pools) -> DataFrame:
             "national_id": F.when(F.col("locale") == "en_US", ssn).otherwise(other_id),
             "passport_number": F.when(uniform(KEY, "has_passport") < 0.6, passport).otherwise("N/A"),
             "drivers_license": F.when(uniform(KEY, "has_licence") < 0.85, licence).otherwise("N/A"),
-            "social_media_handles": handles_text(),
             "blood_type": weighted_choice(uniform(KEY, "blood"), *C.BLOOD_TYPES),
             "allergies": weighted_choice(uniform(KEY, "allergy"), *C.ALLERGIES),
             "disability": weighted_choice(uniform(KEY, "disability"), *C.DISABILITIES),
