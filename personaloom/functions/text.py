@@ -11,6 +11,8 @@ _BLANK_CODES = [
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 ]
 BLANK_CHARS = "".join(map(chr, _BLANK_CODES))
+# The same set as a pattern; a blank class is tested much faster than a list of characters.
+_WORD = r"(?U)[^\s\x1c-\x1f]++"
 
 
 def strip_blanks(c: Column) -> Column:
@@ -20,12 +22,7 @@ def strip_blanks(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Number of runs of non-blank characters."""
-    return F.regexp_count(c, F.lit(f"[^{BLANK_CHARS}]+"))
-
-
-def words(c: Column) -> Column:
-    """The runs of non-blank characters, in order."""
-    return F.regexp_extract_all(c, F.lit(f"[^{BLANK_CHARS}]+"), F.lit(0))
+    return F.regexp_count(c, F.lit(_WORD))
 
 
 def digits_only(c: Column) -> Column:

@@ -127,7 +127,7 @@ def keep_clean(
     real: str = "real_person_text_input",
     synthetic: str = "generated_synthetic_passage",
 ) -> DataFrame:
-    """Drop contaminated records in-row, without a report or a join."""
+    """Drop contaminated records in-row, without a report or a join; records lacking a text are clean."""
     r, s = F.col(real), F.col(synthetic)
     return records.filter(
         F.coalesce(F.size(overlapping(pattern_entities(r), pattern_entities(s))), F.lit(0)) == 0

@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 
 from personaloom.functions.text import json_cell
 from personaloom.operators.catalogue import LOCALES, job_catalogue
+from personaloom.sources.readers import read_spread
 
 NL, QUOTE = "chr(10)", "chr(39)"
 
 
+# Tables of long texts, on which the work per row is heavy.
+TEXT_TABLES = ("documents", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return read_spread(spark, path) if name in TEXT_TABLES else spark.read.parquet(path)
 
 
 def case(expr: str, values: list[str], other: str) -> str:

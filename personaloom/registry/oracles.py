@@ -481,8 +481,8 @@ def recovered_sql(texts: str) -> str:
 
 
 _PARTS = (
-    "SELECT text FROM benchmark UNION ALL SELECT upper(substr(text, cast(doc_id % 50 + 5 AS INTEGER), "
-    "cast(doc_id % 90 AS INTEGER))) FROM documents UNION ALL SELECT text || ' and more' FROM documents"
+    "SELECT text FROM benchmark UNION ALL SELECT translate(substr(text, cast(doc_id % 50 + 5 AS INTEGER), "
+    "cast(doc_id % 90 AS INTEGER)), 'aeiouznt', 'AEIOUZNT') FROM documents UNION ALL SELECT text || ' and more' FROM documents"
 )
 ORACLES["j3_recovered_ids"] = f"SELECT md5(text) AS text_md5, id FROM ({recovered_sql(_PARTS)})"
 ORACLES["j3_benchmark_in_documents"] = (

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BAD_LINE = "_bad_line"
+# Up to this many splits a table counts as small, at 128 MB a split by default.
+SMALL_SPLITS = 64
 
 
 def read_json_lines(
@@ -100,3 +102,15 @@ def read_corpus_tsv(spark: SparkSession, path: str) -> DataFrame:
 def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Only the named columns of a parquet table."""
     return spark.read.parquet(path).select(*columns)
+
+
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table for work that is heavy per row.
+
+    A table of a few file splits would keep most cores idle, so it is dealt out
+    to all of them. Tables with more splits than cores, or with more than
+    SMALL_SPLITS, are read as they are.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, SMALL_SPLITS) else df
