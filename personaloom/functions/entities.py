@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from personaloom.functions.rows import let
+
 # The entity patterns, matched in any case. The class [A-Z|a-z]
 # admits a pipe character, which is kept.
 PATTERNS = {
@@ -49,15 +51,25 @@ def overlapping(real: Column, synthetic: Column) -> Column:
     Case does not matter. Values of one type are tested only against that type.
     """
 
-    def touches(r):
-        low = F.lower(r["value"])
-        return F.exists(
-            synthetic,
-            lambda s: (s["type"] == r["type"])
-            & (F.contains(low, F.lower(s["value"])) | F.contains(F.lower(s["value"]), low)),
-        )
-
-    return F.filter(real, touches)
+    lowered = F.transform(
+        synthetic, lambda s: F.struct(s["type"].alias("type"), F.lower(s["value"]).alias("low"))
+    )
+
+    def within(others):
+        def touches(r):
+            low = F.lower(r["value"])
+            return F.exists(
+                others,
+                lambda s: (s["type"] == r["type"])
+                & (F.contains(low, s["low"]) | F.contains(s["low"], low)),
+            )
+
+        return touches
+
+    # both sides are extracted once per record, not once per entity
+    return let(
+        F.struct(real.alias("r"), lowered.alias("s")), lambda b: F.filter(b["r"], within(b["s"]))
+    )
 
 
 def entities_json(entities: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from personaloom.functions.rows import let
+
 _PY_NULL = r"(?<=[:,\[]\s{0,4})None(?=\s{0,4}[,}\]])"
 
 
@@ -18,20 +20,22 @@ def parse_handles(handles: Column) -> Column:
     """
     loose = F.from_json(F.regexp_replace(handles, _PY_NULL, "null"), "map<string,string>")
     found = F.coalesce(loose, F.expr("cast(map() as map<string,string>)"))
-    entries = F.map_entries(found)
-    keys = F.array_distinct(F.map_keys(found))
-
-    def last_value(k):
-        return F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
 
-    def as_list(k):
-        v = last_value(k)
-        listed = F.from_json(v, "array<string>")
-        return F.when(v.startswith("["), F.filter(listed, lambda x: x.isNotNull())).when(
-            v.isNotNull(), F.array(v)
+    def last_values(m):
+        entries = F.map_entries(m)
+        return F.transform(
+            F.array_distinct(F.map_keys(m)),
+            lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1),
         )
 
-    pairs = F.transform(keys, lambda k: F.struct(k.alias("key"), as_list(k).alias("value")))
+    def as_list(v):
+        listed = F.filter(F.from_json(v, "array<string>"), lambda x: x.isNotNull())
+        return F.when(v.startswith("["), listed).otherwise(F.array(v))
+
+    given = F.filter(let(found, last_values), lambda e: e["value"].isNotNull())
+    pairs = F.transform(
+        given, lambda e: F.struct(e["key"].alias("key"), as_list(e["value"]).alias("value"))
+    )
     return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from personaloom.functions.handles import handle_values, is_mentioned, parse_handles
+from personaloom.functions.rows import compute_where
 from personaloom.functions.text import strip_blanks
 
 # The accepted label spellings of each content type, in output order.
@@ -58,8 +59,10 @@ def passage(model_output: Column) -> Column:
 
 def extract_passages(records: DataFrame, output: str = "model_output") -> DataFrame:
     """Add `generated_synthetic_passage` and drop the rows without one."""
-    done = records.withColumn("generated_synthetic_passage", passage(F.col(output)))
-    return done.filter(F.col("generated_synthetic_passage") != "")
+    name = "generated_synthetic_passage"
+    return compute_where(
+        records, records.columns, {name: passage(F.col(output))}, lambda made: made[name] != ""
+    )
 
 
 def nest_passage_generation(records: DataFrame) -> DataFrame:

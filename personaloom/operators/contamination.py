@@ -11,6 +11,7 @@ from personaloom.functions.entities import (
     overlapping,
     pattern_entities,
 )
+from personaloom.functions.rows import explode_once
 from personaloom.functions.text import strip_blanks, text_or_empty
 
 
@@ -86,17 +87,16 @@ def contamination_report(
 ) -> DataFrame:
     """One row per contaminated value, with the record and both entity sets as JSON text."""
     columns = records.columns
-    hit = contaminated_entities(records, id_col, real, synthetic, external).filter(
-        F.size("_hits") > 0
-    )
-    rows = hit.select(
+    sides = contaminated_entities(records, id_col, real, synthetic, external)
+    hits = explode_once(sides, "_hits", [*columns, "_real", "_synthetic"], "_hit")
+    return hits.select(
         F.col(id_col).alias("unique_id"),
-        F.inline("_hits"),
+        F.col("_hit.type").alias("entity_type"),
+        F.col("_hit.value").alias("entity_value"),
         F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("complete_record"),
         entities_json(F.col("_real")).alias("real_entities"),
         entities_json(F.col("_synthetic")).alias("synthetic_entities"),
     )
-    return rows.withColumnsRenamed({"type": "entity_type", "value": "entity_value"})
 
 
 def contamination_summary(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from personaloom.functions.handles import parse_handles
+from personaloom.functions.rows import compute_where
 from personaloom.functions.text import (
     decode_json_cell,
     decode_json_cell_or_empty,
@@ -76,11 +77,10 @@ def cohort_texts(
         F.col(pairs), F.col("_handles"), F.col(first_name), F.col(last_name)
     )
     joined = F.array_join(F.transform(made, lambda p: p["Text"]), "\n")
-    out = staged.select(
-        F.col(id_col).alias("unique_id"),
-        *[c for c in order_by if c != "unique_id"],
-        joined.alias("concat_content_pairs"),
-    ).filter(F.col("concat_content_pairs") != "")
+    kept = [F.col(id_col).alias("unique_id"), *[c for c in order_by if c != "unique_id"]]
+    out = compute_where(
+        staged, kept, {"concat_content_pairs": joined}, lambda x: x["concat_content_pairs"] != ""
+    )
     if limit is None:
         return out
     return out.orderBy(*order_by).limit(limit)
@@ -96,8 +96,10 @@ def repaired_contents(
     """`keep` columns and `all_content`, the attributed texts of a record; empty lists left out."""
     staged = records.withColumn("_handles", parse_handles(F.col(handles)))
     made = attribute_on_repair(F.col(pairs), F.col("_handles"), F.col(first_name))
-    out = staged.select(*keep, F.transform(made, lambda p: p["Text"]).alias("all_content"))
-    return out.filter(F.size("all_content") > 0)
+    texts = F.transform(made, lambda p: p["Text"])
+    return compute_where(
+        staged, list(keep), {"all_content": texts}, lambda x: F.size(x["all_content"]) > 0
+    )
 
 
 def decode_corpus_text(corpus: DataFrame, text: str = "Text") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from personaloom.functions.handles import parse_handles
+from personaloom.functions.rows import explode_once
 from personaloom.functions.text import (
     alnum_only,
     digits_only,
@@ -140,7 +141,8 @@ def explode_pairs(
     error: str = "error",
 ) -> DataFrame:
     """One row per content pair with lengths, money as numbers and the record's flags."""
-    rows = records.select("*", F.posexplode(pairs).alias("content_pair_index", "_pair")).drop(pairs)
+    kept = [c for c in records.columns if c != pairs]
+    rows = explode_once(records, pairs, kept, "_pair", "content_pair_index")
     text = F.coalesce(F.col("_pair.Text"), F.lit(""))
     has = lambda c: F.lower(F.coalesce(F.col(c), F.lit("None"))) != "none"
     return rows.withColumns(
@@ -166,12 +168,12 @@ def feature_rows(records: DataFrame) -> DataFrame:
 
 def mention_details(features: DataFrame, keep: tuple[str, ...] = ("unique_id",)) -> DataFrame:
     """One row per match: what was looked up, what was found and in which text."""
-    return features.select(
-        *keep, "content_type", F.inline("mentions"), "synthetic_text"
-    ).withColumnsRenamed(
-        {
-            "field": "pii_field_name",
-            "original": "original_pii_value_from_input",
-            "matched": "pii_value_checked",
-        }
+    rows = explode_once(features, "mentions", [*keep, "content_type", "synthetic_text"], "_m")
+    return rows.select(
+        *keep,
+        "content_type",
+        F.col("_m.field").alias("pii_field_name"),
+        F.col("_m.original").alias("original_pii_value_from_input"),
+        F.col("_m.matched").alias("pii_value_checked"),
+        "synthetic_text",
     )

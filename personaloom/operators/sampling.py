@@ -63,7 +63,9 @@ def shuffle_take(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """The first `n` rows of a seeded shuffle, in shuffled order. `key` is unique."""
     hashed = df.withColumns({"_hash": order_hash(key, seed), "_key": F.col(key)})
     if n > TOP_ROWS:
-        hashed = _lowest_hashes(hashed.withColumn("_all", F.lit(0)), ["_all"], n).drop("_all")
+        # one stratum; its key is the same for all rows, but no literal, so the join stays an equi join
+        hashed = hashed.withColumn("_all", F.length("_hash"))
+        hashed = _lowest_hashes(hashed, ["_all"], n).drop("_all")
         return hashed.orderBy("_hash", "_key").drop("_hash", "_key")
     return hashed.orderBy("_hash", "_key").limit(n).drop("_hash", "_key")
 

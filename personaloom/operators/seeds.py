@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from personaloom.functions.rows import compute_where
 from personaloom.functions.text import json_cell, strip_blanks
 
 # Names the selection looks for, all compared in lower case.
@@ -98,16 +99,15 @@ def select_seed_people(
     parsed = people.withColumn(
         "_sections", F.from_json(F.col(sections), section_schema(max_depth))
     )
-    texts = parsed.select(
-        *keep,
-        "name",
-        "url",
-        "abstract",
-        F.col(sections).alias("wikipedia_content"),
-        section_text(F.col("_sections"), PERSONAL_SECTION, max_depth).alias("personal_life"),
-        section_text(F.col("_sections"), EARLY_SECTION, max_depth).alias("early_life"),
+    return compute_where(
+        parsed,
+        [*keep, "name", "url", "abstract", F.col(sections).alias("wikipedia_content")],
+        {
+            "personal_life": section_text(F.col("_sections"), PERSONAL_SECTION, max_depth),
+            "early_life": section_text(F.col("_sections"), EARLY_SECTION, max_depth),
+        },
+        lambda x: (x["personal_life"] != "") | (x["early_life"] != ""),
     )
-    return texts.filter((F.col("personal_life") != "") | (F.col("early_life") != ""))
 
 
 def seed_cells(seeds: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

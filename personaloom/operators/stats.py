@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from personaloom.functions.rows import explode_once
 from personaloom.operators.sampling import keep_first, top_values
 
 # Lower edges of the age bands and their labels.
@@ -94,13 +95,13 @@ def any_mention(features: DataFrame) -> DataFrame:
 
 def field_counts(features: DataFrame, n: int | None = TOP_N) -> DataFrame:
     """How many texts mention each field, most frequent first."""
-    fields = features.select(F.explode("mentioned_pii_fields").alias("field"))
+    fields = explode_once(features, "mentioned_pii_fields", [], "field")
     return top_values(fields, "field", n)
 
 
 def field_by_type(features: DataFrame, types: list[str]) -> DataFrame:
     """Fields as rows, content types as columns, mention counts as cells, 0 where there is none."""
-    fields = features.select(F.explode("mentioned_pii_fields").alias("field"), "content_type")
+    fields = explode_once(features, "mentioned_pii_fields", ["content_type"], "field")
     counts = [F.count_if(F.col("content_type") == t).alias(t) for t in types]
     return fields.groupBy("field").agg(*counts)
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from personaloom.functions import draws, entities, handles, text as tx
+from personaloom.functions.rows import explode_once
 from personaloom.operators import (
     blocks,
     catalogue,
@@ -155,7 +156,7 @@ def s7_file_per_type(spark, sf):
 
 
 def stats_rows(spark, sf):
-    pairs = with_pairs(spark, sf).select(*ROW, F.explode("content_pairs").alias("p"))
+    pairs = explode_once(with_pairs(spark, sf), "content_pairs", list(ROW), "p")
     return pairs.select(*ROW, F.col("p.ContentType").alias("content_type"))
 
 
@@ -272,7 +273,7 @@ def p5_handles(spark, sf):
 @query
 def p6_first_mention(spark, sf):
     r = plain_pairs(spark, sf)
-    rows = r.select(*ROW, "first_name", "_handles", F.posexplode("content_pairs").alias("place", "p"))
+    rows = explode_once(r, "content_pairs", [*ROW, "first_name", "_handles"], "p", "place")
     who = handles.first_mention(F.col("p.Text"), handles.handle_values(F.col("_handles")), F.col("first_name"))
     return rows.select(*ROW, "place", who.alias("mention"))
 
@@ -332,7 +333,7 @@ def p13_cohort_texts(spark, sf):
 def p14_repaired_contents(spark, sf):
     r = X.records(spark, sf).withColumn("content_pairs", blocks.content_pairs(F.col("model_output")))
     out = corpus.repaired_contents(r, ROW)
-    return out.select(*ROW, F.posexplode("all_content").alias("place", "text"))
+    return explode_once(out, "all_content", list(ROW), "text", "place")
 
 
 @query
@@ -470,7 +471,7 @@ def c3_model_entities(spark, sf):
 @query
 def c4_overlaps(spark, sf):
     hit = contamination.contaminated_entities(X.halves(spark, sf), "doc_id")
-    return hit.select("doc_id", F.inline("_hits"))
+    return explode_once(hit, "_hits", ["doc_id"], "hit").select("doc_id", "hit.*")
 
 
 @query
