@@ -12,13 +12,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _text(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def uniform(key: Column | str, salt: str) -> Column:
     """DOUBLE in [0, 1) from the first 32 bits of md5(key|salt)."""
-    digest = F.md5(F.concat(_text(key).cast("string"), F.lit(f"|{salt}")))
+    if isinstance(key, str):
+        # one parsed expression instead of many small calls, as profiles hold some hundred draws
+        return F.expr(
+            f"cast(conv(substring(md5(concat(cast(`{key}` AS string), '|{salt}')), 1, 8), 16, 10) "
+            "AS bigint) / 4294967296.0D"
+        )
+    digest = F.md5(F.concat(key.cast("string"), F.lit(f"|{salt}")))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
@@ -34,7 +36,7 @@ def whole_between(key: Column | str, salt: str, low: int, high: int) -> Column:
 
 def order_hash(key: Column | str, seed: int | str) -> Column:
     """The md5 text that a seeded shuffle orders by."""
-    return F.md5(F.concat(F.lit(f"{seed}|"), _text(key).cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}|"), (F.col(key) if isinstance(key, str) else key).cast("string")))
 
 
 def stable_uuid(seed: str, *keys: Column) -> Column:
@@ -53,11 +55,12 @@ def weighted_choice(draw: Column, values: Sequence, weights: Sequence) -> Column
     """
     if len(values) != len(weights) or not values:
         raise ValueError("values and weights must have the same length, at least 1")
-    steps, total = [], F.lit(0.0)
+    constant = not any(isinstance(w, Column) for w in weights)
+    steps, total = [], 0.0 if constant else F.lit(0.0)
     for w in weights:
-        total = total + _number(w)
+        total = total + (float(w) if constant else _number(w))
         steps.append(total)
-    point = draw * total
+    point = draw * F.lit(total) if constant else draw * total
     choice = None
     for value, step in zip(values[:-1], steps[:-1]):
         hit = point < step

@@ -60,29 +60,27 @@ def pool_table(values: DataFrame) -> DataFrame:
     return values.select("locale", "kind", (F.row_number().over(w) - 1).alias("ordinal"), "value")
 
 
+def _case(column: str, values: dict[str, str | int | float], other: float | None = None) -> Column:
+    """Value by column content, as one parsed CASE expression."""
+
+    def literal(v):
+        return f"'{v}'" if isinstance(v, str) else f"{v}D" if isinstance(v, float) else str(v)
+
+    arms = " ".join(f"WHEN '{k}' THEN {literal(v)}" for k, v in values.items())
+    return F.expr(f"CASE {column} {arms} ELSE {'NULL' if other is None else literal(other)} END")
+
+
 def _by_locale(place: int) -> Column:
-    out = None
-    for row in C.LOCALES:
-        hit = F.col("locale") == row[0]
-        out = F.when(hit, F.lit(row[place])) if out is None else out.when(hit, F.lit(row[place]))
-    return out
+    return _case("locale", {row[0]: row[place] for row in C.LOCALES})
 
 
 def _by_tier(place: int) -> Column:
-    out = None
-    for row in C.TIERS:
-        hit = F.col("_tier") == row[0]
-        value = F.lit(float(row[place]))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(F.lit(float(C.UNTIERED[place - 1])))
+    values = {row[0]: float(row[place]) for row in C.TIERS}
+    return _case("_tier", values, float(C.UNTIERED[place - 1]))
 
 
 def _by_finance(values: list) -> Column:
-    out = None
-    for name, value in zip(C.FINANCE[0], values):
-        hit = F.col("finance_status") == name
-        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return out
+    return _case("finance_status", dict(zip(C.FINANCE[0], values)))
 
 
 def cents(x: Column) -> Column:
@@ -123,13 +121,23 @@ class _Pools:
         )
         return df.join(F.broadcast(by_locale), "locale", "left")
 
-    def draw(self, df: DataFrame, out: str, kind, salt: str | None = None) -> DataFrame:
-        kind = kind if isinstance(kind, Column) else F.lit(kind)
-        held = F.try_element_at(F.col("_pools"), kind)
-        point = uniform(KEY, salt or out)
+    def draw_all(self, df: DataFrame, kinds: dict, salts: dict[str, str] | None = None) -> DataFrame:
+        """Add a column per entry of `kinds`, drawn from that kind; the salt is the column name by default."""
+        salts = salts or {}
         if self.small:
-            place = F.floor(point * F.size(held)).cast("int")
-            return df.withColumn(out, F.get(held, place))
+            return df.withColumns({c: self._look_up(k, salts.get(c, c)) for c, k in kinds.items()})
+        for column, kind in kinds.items():
+            df = self._join(df, column, kind, salts.get(column, column))
+        return df
+
+    def _look_up(self, kind: str | Column, salt: str) -> Column:
+        held = F.try_element_at("_pools", kind if isinstance(kind, Column) else F.lit(kind))
+        return F.get(held, F.floor(uniform(KEY, salt) * F.size(held)).cast("int"))
+
+    def _join(self, df: DataFrame, out: str, kind: str | Column, salt: str) -> DataFrame:
+        kind = kind if isinstance(kind, Column) else F.lit(kind)
+        held = F.try_element_at("_pools", kind)
+        point = uniform(KEY, salt)
         values = self.pools.select(
             "locale",
             F.col("kind").alias("_kind"),
@@ -173,10 +181,11 @@ def add_person(df: DataFrame, pools: _Pools, asof: date) -> DataFrame:
         .when(F.col("gender") == "Female", "female")
         .otherwise(any_name)
     )
-    out = pools.draw(out, "first_name", own)
-    out = pools.draw(out, "_birth_name", "last", "last_name")
-    out = pools.draw(out, "_mother", "female", "mother")
-    out = pools.draw(out, "_father", "male", "father")
+    out = pools.draw_all(
+        out,
+        {"first_name": own, "_birth_name": "last", "_mother": "female", "_father": "male"},
+        {"_birth_name": "last_name", "_mother": "mother", "_father": "father"},
+    )
     space = F.lit(" ")
     return out.withColumns(
         {
@@ -214,8 +223,8 @@ def add_family(df: DataFrame, pools: _Pools) -> DataFrame:
     known = (
         (status == "Married") | ((status == "Widowed") & (u < 0.7)) | ((status == "Divorced") & (u < 0.6))
     )
-    out = pools.draw(out, "_spouse_first", pick(uniform(KEY, "spouse_kind"), ["male", "female"]))
-    out = pools.draw(out, "_spouse_last", "last")
+    any_kind = pick(uniform(KEY, "spouse_kind"), ["male", "female"])
+    out = pools.draw_all(out, {"_spouse_first": any_kind, "_spouse_last": "last"})
     suffix = F.when(status == "Widowed", " (Deceased)").when(status == "Divorced", " (Ex)").otherwise("")
     takes = (F.col("gender") == "Female") & (status == "Married") & (uniform(KEY, "takes_name") < 0.8)
     kids = list(range(5))
@@ -448,12 +457,14 @@ def add_handles(df: DataFrame) -> DataFrame:
 def add_contacts(df: DataFrame, pools: _Pools) -> DataFrame:
     """Employer, addresses, phones, ids, handles, health and emergency contact."""
     out = add_handles(df)
-    for column, kind in (
-        ("_user", "user"), ("_company", "company"), ("_suffix", "company_suffix"), ("_tld", "tld"),
-        ("_address", "address"), ("birth_city", "city"), ("_helper_last", "last"),
-    ):
-        out = pools.draw(out, column, kind)
-    out = pools.draw(out, "_helper_first", pick(uniform(KEY, "helper_kind"), ["male", "female"]))
+    out = pools.draw_all(
+        out,
+        {
+            "_user": "user", "_company": "company", "_suffix": "company_suffix", "_tld": "tld",
+            "_address": "address", "birth_city": "city", "_helper_last": "last",
+            "_helper_first": pick(uniform(KEY, "helper_kind"), ["male", "female"]),
+        },
+    )
     store = F.col("job_title").isin(C.STORE_JOBS)
     out = out.withColumn(
         "employer",

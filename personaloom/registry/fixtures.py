@@ -16,13 +16,13 @@ from personaloom.sources.readers import read_spread
 NL, QUOTE = "chr(10)", "chr(39)"
 
 
-# Tables of long texts, on which the work per row is heavy.
-TEXT_TABLES = ("documents", "conversations")
+# Tables on which the work per row is heavy: long texts, and the keys of profiles.
+HEAVY_TABLES = ("documents", "conversations", "customer")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
-    return read_spread(spark, path) if name in TEXT_TABLES else spark.read.parquet(path)
+    return read_spread(spark, path) if name in HEAVY_TABLES else spark.read.parquet(path)
 
 
 def case(expr: str, values: list[str], other: str) -> str:
