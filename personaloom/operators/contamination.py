@@ -70,7 +70,7 @@ def contaminated_entities(
 
     Runs in-row. `external` adds model entities as a table
     (id_col, side 'real'|'synthetic', type, value), where id_col is unique in
-    `records`.
+    `records`; the entities of a record sit in its row, like its texts.
     """
     sides = _both_sides(records, real, synthetic)
     if external is not None:

@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Largest text column that is broadcast, in bytes.
+TEXT_BYTES = 200_000_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -27,6 +31,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """True where the table has at most `rows` rows. Runs a job that stops early."""
-    return df.limit(rows + 1).count() <= rows
+def fits(df: DataFrame, rows: int, text: str | None = None, max_bytes: int = TEXT_BYTES) -> bool:
+    """True where the table has at most `rows` rows, and its `text` column at most `max_bytes` bytes.
+
+    Runs a job that stops early.
+    """
+    size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) if text else F.lit(0)
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), size.alias("b")).first()
+    return found["n"] <= rows and found["b"] <= max_bytes

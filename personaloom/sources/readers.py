@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from personaloom.plans.lineage import cut, fits
+
 BAD_LINE = "_bad_line"
 # Up to this many splits a table counts as small, at 128 MB a split by default.
 SMALL_SPLITS = 64
+# Largest table of file splits that is broadcast, in rows.
+SPLIT_ROWS = 1_000_000
 
 
 def read_json_lines(
@@ -65,8 +69,9 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     # one row per file split
     before = F.sum("_n").over(Window.orderBy("_file", "_start")) - F.col("_n")
-    offsets = splits.select("_file", "_start", "_first", before.alias("_before"))
-    numbered = lines.join(offsets, ["_file", "_start"])
+    offsets = cut(splits.select("_file", "_start", "_first", before.alias("_before")))
+    side = F.broadcast(offsets) if fits(offsets, SPLIT_ROWS) else offsets
+    numbered = lines.join(side, ["_file", "_start"])
     number = F.col("_before") + F.col("_at") - F.col("_first") + 1
     return numbered.select(number.alias("line_number"), "value")
 
