@@ -57,7 +57,7 @@ def cohort_texts(
     records: DataFrame,
     id_col: str = "unique_id",
     order_by: tuple[str, ...] = ("unique_id",),
-    limit: int | None = 100,
+    limit: int | None = None,
     locale: str = "locale",
     age: str = "age",
     first_name: str = "first_name",

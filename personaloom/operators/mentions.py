@@ -136,13 +136,27 @@ def add_mentions(texts: DataFrame, text: str = "text", handles: str = "social_me
     )
 
 
+# Long texts of a record that no feature needs.
+RECORD_TEXTS = ("model_output", "passage_output", "synthetic_article")
+
+
 def explode_pairs(
     records: DataFrame, pairs: str = "content_pairs", real_text: str = "real_person_text_input",
     error: str = "error",
 ) -> DataFrame:
-    """One row per content pair with lengths, money as numbers and the record's flags."""
-    kept = [c for c in records.columns if c != pairs]
-    rows = explode_once(records, pairs, kept, "_pair", "content_pair_index")
+    """One row per content pair with lengths, money as numbers and the record's flags.
+
+    The record's own texts (`RECORD_TEXTS`, the seed text and the error) stay behind: of them
+    only lengths and flags go along, so that no text is stored once per pair.
+    """
+    record = records.withColumns(
+        {
+            "real_person_text_length": F.length(F.coalesce(F.col(real_text), F.lit(""))),
+            "generation_error": F.col(error).isNotNull(),
+        }
+    )
+    kept = [c for c in record.columns if c not in (pairs, real_text, error, *RECORD_TEXTS)]
+    rows = explode_once(record, pairs, kept, "_pair", "content_pair_index")
     text = F.coalesce(F.col("_pair.Text"), F.lit(""))
     has = lambda c: F.lower(F.coalesce(F.col(c), F.lit("None"))) != "none"
     return rows.withColumns(
@@ -151,8 +165,6 @@ def explode_pairs(
             "synthetic_text": text,
             "synthetic_text_length": F.length(text),
             "synthetic_word_count": word_count(text),
-            "real_person_text_length": F.length(F.coalesce(F.col(real_text), F.lit(""))),
-            "generation_error": F.col(error).isNotNull(),
             "net_worth_value": money_value(F.col("net_worth")),
             "annual_salary_value": money_value(F.col("annual_salary")),
             "has_allergies": has("allergies"),

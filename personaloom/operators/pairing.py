@@ -7,10 +7,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Rows that one task ranks.
+RANGE_ROWS = 500_000
+
+
 def _ranged(df: DataFrame, key: str, buckets: int | None) -> tuple[DataFrame, DataFrame]:
-    """Rows with the key range they fall in, and per range its size and the rows before it."""
+    """Rows with the key range they fall in, and per range its size and the rows before it.
+
+    The number of ranges follows the number of rows, without an upper bound.
+    """
     if buckets is None:
-        buckets = min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(least, -(-df.select(key).count() // RANGE_ROWS))
     points = [i / buckets for i in range(1, buckets)]
     inner = sorted(set(df.approxQuantile(key, points, 0.1 / buckets))) if points else []
     edges = [float("-inf"), *inner, float("inf")]
@@ -70,3 +78,30 @@ def pair_by_position(left: DataFrame, right: DataFrame, number: str = "line_numb
     uses up its place on both sides.
     """
     return left.join(right, number)
+
+
+def pair_parsed(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Parsed numbered lines (line_number, value, record) of two files, line i with line i.
+
+    Gives line_number and, for each side, its line and record. Take the result apart with
+    good_pairs and bad_pairs.
+    """
+    sides = [
+        df.select("line_number", F.col("value").alias(f"{name}_line"), F.col("record").alias(f"{name}_record"))
+        for name, df in (("left", left), ("right", right))
+    ]
+    return pair_by_position(*sides)
+
+
+def good_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs of which both lines were readable: line_number and both records."""
+    both = F.col("left_record").isNotNull() & F.col("right_record").isNotNull()
+    return pairs.filter(both).select("line_number", "left_record", "right_record")
+
+
+def bad_pairs(pairs: DataFrame) -> DataFrame:
+    """Error rows of pairs with an unreadable line: line_number, error and both lines."""
+    either = F.col("left_record").isNull() | F.col("right_record").isNull()
+    return pairs.filter(either).select(
+        "line_number", F.lit("JSON Decode Error").alias("error"), "left_line", "right_line"
+    )

@@ -379,7 +379,7 @@ def email_address() -> Column:
     user = F.when(uniform(KEY, "email_opaque") < 0.2, F.col("_user")).otherwise(named)
     u, domain = uniform(KEY, "email_domain"), None
     for locale, names in C.EMAIL_DOMAINS.items():
-        hit, choice = F.col("locale") == locale, pick(u, names.split())
+        hit, choice = F.col("locale") == locale, pick(u, names)
         domain = F.when(hit, choice) if domain is None else domain.when(hit, choice)
     return F.concat(user, F.lit("@"), domain)
 

@@ -18,24 +18,24 @@ TOP_JOBS_STACKED = 8
 def content_type_stats(records: DataFrame, pairs: str = "content_pairs") -> DataFrame:
     """Per content type: count, total and average length, and count per 100 records.
 
-    Each record adds one marker row without a type, so the record count comes
-    from the same scan and the same aggregate.
+    Each record adds one marker row, so the record count comes from the same
+    scan and the same aggregate. Pairs without a type are left out.
     """
-    none = F.expr("cast(array() as array<struct<t:string,n:int>>)")
+    none = F.expr("cast(array() as array<struct<t:string,n:int,record:boolean>>)")
     lengths = F.transform(
         F.col(pairs),
-        lambda p: F.struct(p["ContentType"].alias("t"), F.length(p["Text"]).alias("n")),
+        lambda p: F.struct(p["ContentType"].alias("t"), F.length(p["Text"]).alias("n"), F.lit(False).alias("record")),
     )
-    marker = F.array(F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("n")))
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("n"), F.lit(True).alias("record")))
     items = records.select(F.inline(F.concat(marker, F.coalesce(lengths, none))))
-    sums = items.groupBy("t").agg(
+    sums = items.groupBy("t", "record").agg(
         F.count(F.lit(1)).alias("count"), F.sum("n").alias("total_length")
     )
     everything = Window.partitionBy()  # one row per content type
-    n_records = F.max(F.when(F.col("t").isNull(), F.col("count"))).over(everything)
+    n_records = F.max(F.when(F.col("record"), F.col("count"))).over(everything)
     return (
         sums.withColumn("_records", n_records)
-        .filter(F.col("t").isNotNull())
+        .filter(F.col("t").isNotNull() & ~F.col("record"))
         .select(
             F.col("t").alias("content_type"),
             "count",

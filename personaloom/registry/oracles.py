@@ -83,10 +83,11 @@ def records_sql(select: str) -> str:
 
 # --- sources and sinks -------------------------------------------------------------------------
 
-ORACLES["s1_json_lines_good"] = "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 10 <> 3"
+ORACLES["s1_json_lines_good"] = "SELECT doc_id, lang, n_chars, text FROM documents WHERE doc_id % 10 <> 3"
 ORACLES["s1_json_lines_bad"] = (
-    "SELECT 'JSON Decode Error' AS error, substr('{\"doc_id\":' || doc_id || ',\"lang\"', 1, 12) "
-    "AS original_line FROM documents WHERE doc_id % 10 = 3"
+    "SELECT line_number, 'JSON Decode Error' AS error, substr('{\"doc_id\":' || doc_id || ',\"lang\"', 1, 12) "
+    "AS original_line FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS line_number FROM documents) "
+    "WHERE doc_id % 10 = 3"
 )
 ORACLES["s2_tsv_round_trip"] = "SELECT cast(doc_id AS VARCHAR) AS doc_id, source, text FROM documents"
 ORACLES["s3_skip_filter_take"] = (
@@ -101,11 +102,12 @@ ORACLES["s7_file_per_type"] = pairs_sql(
     "count(*) AS count FROM pairs GROUP BY 1, 2"
 )
 ORACLES["s8_typed_table"] = (
-    "SELECT cast(doc_id AS VARCHAR) AS doc_id, lang, cast(n_chars AS INTEGER) AS n_chars FROM documents"
+    "SELECT cast(doc_id AS VARCHAR) AS doc_id, lang, cast(n_chars AS INTEGER) AS n_chars, source, text FROM documents"
 )
 ORACLES["s9_stats_file"] = pairs_sql(
     "SELECT content_type, count(*) AS count, cast(sum(length(text)) AS BIGINT) AS total_length, "
-    "round(avg(length(text)), 6) AS average_length FROM pairs GROUP BY 1"
+    "round(avg(length(text)), 6) AS average_length, "
+    "round(count(*) / (SELECT count(*) FROM records) * 100.0, 6) AS percentage_of_records FROM pairs GROUP BY 1"
 )
 
 # --- seed people: expected texts straight from the rules of the fixture ------------------------
@@ -466,6 +468,21 @@ ORACLES["j1_positional_pairs"] = (
     "FROM benchmark) JOIN (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS line_number FROM documents) "
     "USING (line_number)"
 )
+_LINES = (
+    "FROM (SELECT item_id, text AS item_text, row_number() OVER (ORDER BY item_id) AS line_number FROM benchmark) "
+    "JOIN (SELECT doc_id, lang, n_chars, text, row_number() OVER (ORDER BY doc_id) AS line_number FROM documents) "
+    "USING (line_number)"
+)
+ORACLES["j1_file_pairs"] = (
+    f"SELECT line_number, item_id AS item_item_id, item_text, doc_id, lang, n_chars, text {_LINES} "
+    "WHERE item_id % 4 <> 1 AND doc_id % 10 <> 3"
+)
+ORACLES["j1_file_errors"] = (
+    "SELECT line_number, 'JSON Decode Error' AS error, md5(CASE WHEN item_id % 4 = 1 THEN substr(line, 1, 12) ELSE line END) AS left_md5, "
+    "substr('{\"doc_id\":' || doc_id || ',\"lang\"', 1, 12) AS right_start FROM (SELECT *, "
+    "CAST(to_json({'item_id': item_id, 'text': item_text}) AS VARCHAR) AS line "
+    f"{_LINES}) WHERE item_id % 4 = 1 OR doc_id % 10 = 3"
+)
 SUBSET = ("subset", "SELECT DISTINCT text FROM documents UNION ALL SELECT text FROM benchmark")
 ORACLES["j2_exact_link"] = cte(
     SUBSET, select="SELECT md5(s.text) AS text_md5, d.doc_id AS id FROM subset s LEFT JOIN documents d USING (text)"

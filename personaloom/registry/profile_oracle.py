@@ -118,7 +118,7 @@ _email_user = (
     f"regexp_replace({nth(whole('email_format', 0, 6), _email_formats)}, '[^a-z0-9._]', '', 'g') END"
 )
 _email_domain = "CASE locale " + " ".join(
-    f"WHEN '{loc}' THEN {even('email_domain', names.split())}" for loc, names in C.EMAIL_DOMAINS.items()
+    f"WHEN '{loc}' THEN {even('email_domain', names)}" for loc, names in C.EMAIL_DOMAINS.items()
 ) + " END"
 
 

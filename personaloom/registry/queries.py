@@ -74,18 +74,15 @@ def rounded(c: str) -> F.Column:
 
 # --- sources and sinks -------------------------------------------------------------------------
 
-_LINE_SCHEMA = "doc_id bigint, lang string, n_chars bigint"
-
-
-def _json_lines(spark: SparkSession, sf: str) -> DataFrame:
-    line = F.to_json(F.struct("doc_id", "lang", "n_chars"))
-    broken = F.when(F.col("doc_id") % 10 == 3, F.substring(line, 1, 12)).otherwise(line)
-    return table(spark, sf, "documents").select(broken.alias("value"))
+_LINE_SCHEMA = "doc_id bigint, lang string, n_chars bigint, text string"
 
 
 def _written_lines(spark: SparkSession, sf: str) -> str:
+    """JSON lines of the documents in order, some of them broken."""
     path = scratch(spark)
-    _json_lines(spark, sf).write.text(path)
+    line = F.to_json(F.struct("doc_id", "lang", "n_chars", "text"))
+    broken = F.when(F.col("doc_id") % 10 == 3, F.substring(line, 1, 12)).otherwise(line)
+    table(spark, sf, "documents").orderBy("doc_id").select(broken.alias("value")).write.text(path)
     return path
 
 
@@ -97,8 +94,8 @@ def s1_json_lines_good(spark, sf):
 
 @query
 def s1_json_lines_bad(spark, sf):
-    path = _written_lines(spark, sf)
-    return readers.bad_rows(readers.read_json_lines(spark, path, _LINE_SCHEMA))
+    lines = readers.read_numbered_lines(spark, _written_lines(spark, sf))
+    return readers.numbered_errors(readers.parse_numbered(lines, _LINE_SCHEMA))
 
 
 @query
@@ -163,7 +160,7 @@ def stats_rows(spark, sf):
 @query
 def s8_typed_table(spark, sf):
     path = scratch(spark)
-    schema = {"doc_id": "string", "lang": "string", "n_chars": "int"}
+    schema = {"doc_id": "string", "lang": "string", "n_chars": "int", "source": "string", "text": "string"}
     writers.write_table(table(spark, sf, "documents"), path, schema)
     return spark.read.parquet(path)
 
@@ -172,8 +169,9 @@ def s8_typed_table(spark, sf):
 def s9_stats_file(spark, sf):
     path = scratch(spark)
     writers.write_stats(stats.content_type_stats(with_pairs(spark, sf)), path)
-    schema = "content_type string, count bigint, total_length bigint, average_length double"
-    return spark.read.schema(schema).json(path).withColumn("average_length", rounded("average_length"))
+    schema = "content_type string, count bigint, total_length bigint, average_length double, percentage_of_records double"
+    back = spark.read.schema(schema).json(path)
+    return back.withColumns({c: rounded(c) for c in ("average_length", "percentage_of_records")})
 
 
 # --- seed people -------------------------------------------------------------------------------
@@ -326,7 +324,7 @@ def p12_cohort(spark, sf):
 @query
 def p13_cohort_texts(spark, sf):
     r = X.records(spark, sf).withColumn("content_pairs", blocks.content_pairs(F.col("model_output")))
-    return corpus.cohort_texts(r, order_by=ROW, age="age_text").select(*ROW, "unique_id", "concat_content_pairs")
+    return corpus.cohort_texts(r, order_by=ROW, age="age_text", limit=100).select(*ROW, "unique_id", "concat_content_pairs")
 
 
 @query
@@ -563,6 +561,31 @@ def j1_positional_pairs(spark, sf):
     return pairing.pair_by_position(left, right)
 
 
+def _file_pairs(spark, sf):
+    """Two line files, both with broken lines, paired line by line."""
+    path = scratch(spark)
+    line = F.to_json(F.struct("item_id", "text"))
+    broken = F.when(F.col("item_id") % 4 == 1, F.substring(line, 1, 12)).otherwise(line)
+    table(spark, sf, "benchmark").orderBy("item_id").select(broken.alias("value")).write.text(path)
+    left = readers.parse_numbered(readers.read_numbered_lines(spark, path), "item_id bigint, text string")
+    right = readers.read_numbered_lines(spark, _written_lines(spark, sf))
+    return pairing.pair_parsed(left, readers.parse_numbered(right, _LINE_SCHEMA))
+
+
+@query
+def j1_file_pairs(spark, sf):
+    return pairing.good_pairs(_file_pairs(spark, sf)).select(
+        "line_number",
+        *[F.col(f"left_record.{c}").alias(f"item_{c}") for c in ("item_id", "text")],
+        *[F.col(f"right_record.{c}").alias(c) for c in ("doc_id", "lang", "n_chars", "text")],
+    )
+
+
+@query
+def j1_file_errors(spark, sf):
+    return pairing.bad_pairs(_file_pairs(spark, sf)).select("line_number", "error", F.md5("left_line").alias("left_md5"), F.substring("right_line", 1, 12).alias("right_start"))
+
+
 def _subset(spark, sf):
     """Texts without ids: each document text once, and the benchmark texts."""
     own = table(spark, sf, "documents").select("text").distinct()

@@ -54,14 +54,17 @@ def bad_rows(rows: DataFrame) -> DataFrame:
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_number, value) of text files, counted through all files in path order; blanks count.
 
-    Lines are counted per file split; no line is moved. Runs over the files
-    twice: once to count, once to read.
+    The files are read once and stored with each line's split and place, so
+    the count and the numbers rest on one and the same cut into splits, whatever
+    settings or executors change later. Lines are counted per split; no line is moved.
     """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_at"),
+    lines = cut(
+        spark.read.text(path).select(
+            "value",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_at"),
+        )
     )
     # a task reads a split from front to back, so `_at` minus its minimum is the place in the split
     splits = lines.groupBy("_file", "_start").agg(
@@ -90,10 +93,24 @@ def parse_numbered(lines: DataFrame, schema: str | T.StructType) -> DataFrame:
     return staged.withColumn("record", F.when(good, fields)).drop("_r")
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """Tab-separated text with a header and quoted cells that may span lines; all columns STRING."""
+def numbered_errors(parsed: DataFrame) -> DataFrame:
+    """Error rows of `parse_numbered`: line_number, error and original_line; blank lines are none."""
+    return parsed.filter(F.col("record").isNull() & (F.trim("value") != "")).select(
+        "line_number", F.lit("JSON Decode Error").alias("error"), F.col("value").alias("original_line")
+    )
+
+
+def read_tsv(
+    spark: SparkSession, path: str, schema: str | T.StructType | None = None, multiline: bool = True
+) -> DataFrame:
+    """Tab-separated text with a header; all columns STRING.
+
+    Quoted cells may span lines with `multiline`, which makes each file one
+    task. Files whose cells hold no line breaks, as JSON cells do, are read
+    without it and split.
+    """
     reader = spark.read.option("sep", "\t").option("header", True).option("quote", '"')
-    reader = reader.option("escape", '"').option("multiLine", True).option("maxCharsPerColumn", -1)
+    reader = reader.option("escape", '"').option("multiLine", multiline).option("maxCharsPerColumn", -1)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 

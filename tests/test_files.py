@@ -103,3 +103,20 @@ def test_corpus_stream(spark, sf_dir, tmp_path):
     start_corpus_stream(arriving, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
     got = spark.read.parquet(f"{tmp_path}/out")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, build_corpus(records).collect()))
+
+
+def test_numbered_lines_keep_all_lines_when_splits_change(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    spark.range(30_000).selectExpr("concat('line ', id)").coalesce(2).write.text(path)
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.leafNodeDefaultParallelism")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+        lines = readers.read_numbered_lines(spark, path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "3")
+        got = sorted((r.line_number, r.value) for r in lines.collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [n for n, _ in got] == list(range(1, 30_001))
+    assert sorted(v for _, v in got) == sorted(f"line {i}" for i in range(30_000))
