@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from personaloom.functions.rows import compute_where
 from personaloom.functions.text import json_cell, strip_blanks
+from personaloom.plans.lineage import cut
 
 # Names the selection looks for, all compared in lower case.
 PERSON_INFOBOX = "infobox person"
@@ -36,78 +37,145 @@ def birth_origin(infoboxes: Column) -> Column:
 _PARTS = "array<struct<name:string,value:string>>"
 
 
-def section_schema(max_depth: int) -> str:
-    """Schema of a section list nested `max_depth` levels; what lies deeper stays raw JSON text."""
-    inner = "string"
-    for _ in range(max_depth):
-        inner = f"array<struct<name:string,type:string,value:string,has_parts:{inner}>>"
-    return inner
+# Levels of sections that the plain form walks; deeper records get a form of their own.
+DEPTH = 8
 
 
-def section_text(sections: Column, target: str, max_depth: int = 8) -> Column:
-    """Text of all sections whose name contains `target`, in document order.
+def section_depth(sections: Column) -> Column:
+    """How many levels of lists a JSON text nests, at least 1."""
+    bare = F.regexp_replace(F.replace(F.replace(sections, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit("")), '"[^"]*"', "")
+    signs = F.split(F.regexp_replace(bare, r"[^\[\]]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(1).alias("most"))
 
-    `sections` is parsed with `section_schema(max_depth)`. A matching section
-    gives its own direct paragraphs, then its sub-sections are searched as
-    well. A record nested deeper than `max_depth` fails the job with a message
-    instead of losing text; raise `max_depth` for it.
+    def step(s, sign):
+        now = s["now"] + F.when(sign == "[", 1).when(sign == "]", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.coalesce(F.aggregate(signs, start, step, lambda s: s["most"]), F.lit(1))
+
+
+def _member(node: Column, name: str, kind: str = "string") -> Column:
+    return F.try_variant_get(node, f"$.{name}", kind)
+
+
+def _paragraphs(node: Column) -> Column:
+    parts = F.coalesce(_member(node, "has_parts", "array<variant>"), F.array().cast("array<variant>"))
+    return F.array_compact(F.transform(parts, lambda p: F.when(_member(p, "type") == "paragraph", _member(p, "value"))))
+
+
+def _named(node: Column, target: str) -> Column:
+    hit = F.contains(F.lower(strip_blanks(_member(node, "name"))), F.lit(target.lower()))
+    return F.coalesce(hit, F.lit(False))
+
+
+def _top(sections: Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(sections), "$", "array<variant>")
+
+
+def section_text(sections: Column, target: str, depth: int = DEPTH) -> Column:
+    """Text of all sections whose name contains `target`, in document order, down to `depth` levels.
+
+    `sections` is JSON text. A matching section gives its own direct
+    paragraphs, then its sub-sections are searched as well. Parts of any other
+    shape hold nothing and hide nothing; text that is no JSON list gives ''.
+    `by_depth` covers records of any depth.
     """
-    wanted = target.lower()
     nothing = F.array().cast("array<string>")
 
-    def gather(nodes: Column, depth: int) -> Column:
-        # `nodes` sit at `depth`; the level below them is text when depth == max_depth
+    def gather(nodes: Column, level: int) -> Column:
         def from_node(node):
-            below = node["has_parts"]
-            if depth == max_depth:
-                return F.when(
-                    below.isNotNull() & ~strip_blanks(below).isin("[]", "null", ""),
-                    F.raise_error(F.lit(f"sections are nested deeper than {max_depth} levels")).cast(
-                        "array<string>"
-                    ),
-                ).otherwise(nothing)
-            own = F.transform(
-                F.filter(below, lambda p: (p["type"] == "paragraph") & p["value"].isNotNull()),
-                lambda p: p["value"],
-            )
-            hit = F.contains(F.lower(strip_blanks(node["name"])), F.lit(wanted))
+            below = _member(node, "has_parts", "array<variant>")
             return F.concat(
-                F.when(hit, F.coalesce(own, nothing)).otherwise(nothing),
-                F.coalesce(gather(below, depth + 1), nothing),
+                F.when(_named(node, target), _paragraphs(node)).otherwise(nothing),
+                F.coalesce(gather(below, level + 1), nothing) if level < depth else nothing,
             )
 
         return F.flatten(F.transform(nodes, from_node))
 
-    return F.coalesce(strip_blanks(F.array_join(gather(sections, 1), "\n")), F.lit(""))
+    return F.coalesce(strip_blanks(F.array_join(gather(_top(sections), 1), "\n")), F.lit(""))
+
+
+def _walk(records: DataFrame, sections: str, targets: list[str]) -> DataFrame:
+    """Adds `_found`: (path, target's place, text) of all matching sections, one level of every record at a time.
+
+    Each level is stored, so the plan does not grow with the depth.
+    """
+    entry = "struct<path:array<int>,target:int,text:string>"
+    kept = records.columns
+    start = F.transform(_top(F.col(sections)), lambda n, i: F.struct(F.array(i).alias("path"), n.alias("node")))
+    state = cut(records.withColumns({"_front": start, "_found": F.array().cast(f"array<{entry}>")}))
+    while not state.filter(F.size("_front") > 0).isEmpty():
+
+        def texts(x):
+            return [
+                F.when(
+                    _named(x["node"], t),
+                    F.struct(x["path"].alias("path"), F.lit(i).alias("target"), F.array_join(_paragraphs(x["node"]), "\n").alias("text")),
+                )
+                for i, t in enumerate(targets)
+            ]
+
+        def below(x):
+            parts = F.coalesce(_member(x["node"], "has_parts", "array<variant>"), F.array().cast("array<variant>"))
+            return F.transform(parts, lambda n, i: F.struct(F.concat(x["path"], F.array(i)).alias("path"), n.alias("node")))
+
+        found = F.array_compact(F.flatten(F.transform("_front", lambda x: F.array(*texts(x)))))
+        state = cut(
+            state.select(
+                *kept,
+                F.concat("_found", F.coalesce(found, F.array().cast(f"array<{entry}>"))).alias("_found"),
+                F.flatten(F.transform("_front", below)).alias("_front"),
+            )
+        )
+    return state.drop("_front")
+
+
+def by_depth(records: DataFrame, sections: str, targets: dict[str, str], make) -> DataFrame:
+    """`make(records, texts)` over records of any depth; `texts` are the columns of the wanted section texts by name.
+
+    Records of up to DEPTH levels get theirs inside the row. One aggregate
+    tells whether there are deeper ones; these few are walked level by level.
+    """
+    shallow = {name: section_text(F.col(sections), t) for name, t in targets.items()}
+    depth = section_depth(F.col(sections))
+    if (records.agg(F.max(depth).alias("d")).first()["d"] or 1) <= DEPTH:
+        return make(records, shallow)
+    own = records.withColumn("_depth", depth)
+    deep = _walk(own.filter(F.col("_depth") > DEPTH).drop("_depth"), sections, list(targets.values()))
+
+    def joined(i: int) -> Column:
+        mine = F.filter("_found", lambda f: (f["target"] == i) & (f["text"] != ""))
+        return strip_blanks(F.array_join(F.transform(F.array_sort(mine), lambda f: f["text"]), "\n"))
+
+    walked = make(deep, {name: joined(i) for i, name in enumerate(targets)})
+    return make(own.filter(F.coalesce(F.col("_depth"), F.lit(1)) <= DEPTH).drop("_depth"), shallow).unionByName(walked)
 
 
 def select_seed_people(
     records: DataFrame,
     keep: tuple[str, ...] = (),
-    max_depth: int = 8,
     sections: str = "sections",
     infoboxes: str = "infoboxes",
 ) -> DataFrame:
     """People with a name, a person infobox and a personal- or early-life text.
 
-    `sections` holds JSON text. The cheap tests run before it is parsed. Adds
-    the columns personal_life and early_life; `keep` names columns to carry.
+    `sections` holds JSON text of any depth. The cheap tests run before it is
+    parsed. Adds the columns personal_life and early_life; `keep` names columns
+    to carry. Runs one job that measures the depth.
     """
     people = records.filter(
         has_person_infobox(F.col(infoboxes)) & (F.coalesce(F.col("name"), F.lit("")) != "")
     )
-    parsed = people.withColumn(
-        "_sections", F.from_json(F.col(sections), section_schema(max_depth))
-    )
-    return compute_where(
-        parsed,
-        [*keep, "name", "url", "abstract", F.col(sections).alias("wikipedia_content")],
-        {
-            "personal_life": section_text(F.col("_sections"), PERSONAL_SECTION, max_depth),
-            "early_life": section_text(F.col("_sections"), EARLY_SECTION, max_depth),
-        },
-        lambda x: (x["personal_life"] != "") | (x["early_life"] != ""),
-    )
+
+    def select(part: DataFrame, texts: dict[str, Column]) -> DataFrame:
+        return compute_where(
+            part,
+            [*keep, "name", "url", "abstract", F.col(sections).alias("wikipedia_content")],
+            texts,
+            lambda x: (x["personal_life"] != "") | (x["early_life"] != ""),
+        )
+
+    return by_depth(people, sections, {"personal_life": PERSONAL_SECTION, "early_life": EARLY_SECTION}, select)
 
 
 def seed_cells(seeds: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

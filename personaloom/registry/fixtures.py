@@ -150,6 +150,17 @@ def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(*rules)
 
 
+def deep_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose wanted section lies 1 to 30 levels deep, among parts of odd shapes."""
+    n = (F.col("doc_id") % 30).cast("int")
+    text = F.concat(F.lit('{"type":"section","name":"Personal life","has_parts":["odd [[",7,null,{"x":[[]]},'
+                          '{"type":"paragraph","value":'), json_cell(F.col("text")), F.lit("}]}"))
+    level = F.lit('"just text",{"type":"section","name":"Level","has_parts":[')
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("["), F.repeat(level, n), text, F.repeat(F.lit("]}"), n), F.lit("]")).alias("sections")
+    )
+
+
 def wiki_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encyclopaedia records: both halves of a document as section texts at varying depth."""
     docs = table(spark, sf_dir, "documents")

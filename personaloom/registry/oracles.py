@@ -120,13 +120,33 @@ WIKI = (
     f"CASE doc_id % 4 WHEN 0 THEN {trim(f'{_A} || {NL} || {_B}')} WHEN 1 THEN {trim(_A)} ELSE '' END "
     "AS early_life, 'Person ' || doc_id AS name, 'https://example.org/' || doc_id AS url FROM documents",
 )
+def _paragraph(x: str) -> str:
+    return f"'{{\"type\":\"paragraph\",\"value\":' || cast(to_json({x}) AS VARCHAR) || '}}'"
+
+
+def _section(name: str, *parts: str) -> str:
+    return f"'{{\"type\":\"section\",\"name\":\"{name}\",\"has_parts\":[' || " + " || ',' || ".join(parts) + " || ']}'"
+
+
+_LIST = "'{\"type\":\"list\",\"value\":\"no paragraph\"}'"
+_NESTED = _section(
+    "Biography",
+    _paragraph(_A),
+    _section(
+        " EARLY LIFE and education", _LIST, _paragraph(_A), _section("Later personal life", _paragraph(_B)), _paragraph(_B)
+    ),
+)
+_FLAT = _section("Personal life", _paragraph(_B), _LIST) + " || ',' || " + _section("Early life", _paragraph(_A))
+_CONTENT = f"'[' || CASE doc_id % 4 WHEN 0 THEN {_NESTED} WHEN 1 THEN {_FLAT} END || ']'"
 _CHOSEN = "person AND named AND (personal_life <> '' OR early_life <> '')"
 ORACLES["w1_person_infobox"] = cte(WIKI, select="SELECT doc_id FROM wiki WHERE person")
 ORACLES["w2_named_records"] = cte(WIKI, select="SELECT doc_id, name FROM wiki WHERE named")
+ORACLES["w3_deep_sections"] = f"SELECT doc_id, {trim('text')} AS personal_life FROM documents"
 ORACLES["w3_section_text"] = cte(WIKI, select="SELECT doc_id, personal_life, early_life FROM wiki")
 ORACLES["w4_seed_people"] = cte(
     WIKI,
-    select="SELECT doc_id, name, url, lang AS abstract, personal_life, early_life FROM wiki WHERE " + _CHOSEN,
+    select=f"SELECT doc_id, name, url, lang AS abstract, {_CONTENT} AS wikipedia_content, personal_life, early_life "
+    "FROM wiki WHERE " + _CHOSEN,
 )
 ORACLES["w5_cells"] = (
     "SELECT doc_id, cast(to_json(text) AS VARCHAR) AS cell, text AS decoded, "
@@ -147,7 +167,7 @@ ORACLES["w7_seed_cells"] = cte(
             ("Early_Life", "early_life"),
         ]
     )
-    + " FROM wiki WHERE " + _CHOSEN,
+    + f", {_CONTENT} AS Wikipedia_Content FROM wiki WHERE " + _CHOSEN,
 )
 
 # --- blocks, attribution, corpus ---------------------------------------------------------------

@@ -189,20 +189,23 @@ def w2_named_records(spark, sf):
 
 @query
 def w3_section_text(spark, sf):
-    parsed = X.wiki_records(spark, sf).withColumn(
-        "s", F.from_json("sections", seeds.section_schema(8))
-    )
-    return parsed.select(
+    return X.wiki_records(spark, sf).select(
         "doc_id",
-        seeds.section_text(F.col("s"), "Personal life").alias("personal_life"),
-        seeds.section_text(F.col("s"), "Early life").alias("early_life"),
+        seeds.section_text(F.col("sections"), "Personal life").alias("personal_life"),
+        seeds.section_text(F.col("sections"), "Early life").alias("early_life"),
     )
 
 
+@query
+def w3_deep_sections(spark, sf):
+    records = X.deep_records(spark, sf)
+    wanted = {"personal_life": "personal life"}
+    return seeds.by_depth(records, "sections", wanted, lambda part, made: part.select("doc_id", made["personal_life"].alias("personal_life")))
+
+
 @query
 def w4_seed_people(spark, sf):
-    people = seeds.select_seed_people(X.wiki_records(spark, sf), ("doc_id",))
-    return people.drop("wikipedia_content")
+    return seeds.select_seed_people(X.wiki_records(spark, sf), ("doc_id",))
 
 
 @query
@@ -222,7 +225,7 @@ def w6_birth_origin(spark, sf):
 @query
 def w7_seed_cells(spark, sf):
     people = seeds.select_seed_people(X.wiki_records(spark, sf), ("doc_id",))
-    return seeds.seed_cells(people, ("doc_id",)).drop("Wikipedia_Content")
+    return seeds.seed_cells(people, ("doc_id",))
 
 
 # --- blocks, attribution, corpus ---------------------------------------------------------------

@@ -161,10 +161,8 @@ def par(value):
 
 
 def sections_text(spark, text, target, depth=8):
-    df = spark.createDataFrame([(text,)], "v string").withColumn(
-        "s", F.from_json("v", seeds.section_schema(depth))
-    )
-    return df.select(seeds.section_text(F.col("s"), target, depth)).first()[0]
+    df = spark.createDataFrame([(text,)], "v string")
+    return df.select(seeds.section_text(F.col("v"), target, depth)).first()[0]
 
 
 def test_sections(spark):
@@ -178,11 +176,20 @@ def test_sections(spark):
     assert sections_text(spark, None, "Personal life") == ""
 
 
-def test_sections_nested_too_deep_fail_loudly(spark):
-    deep = tree(section("a", section("b", section("c", section("personal life", par("x"))))))
-    assert sections_text(spark, deep, "personal life", depth=5) == "x"
-    with pytest.raises(Exception, match="nested deeper than 3"):
-        sections_text(spark, deep, "personal life", depth=3)
+def test_sections_of_any_depth(spark):
+    def nested(levels):
+        node = section("personal life", par(f"x{levels}"), "odd", 3, None, {"has_parts": "no list"})
+        for _ in range(levels):
+            node = section('a [[[ \\" ]', "plain", node)
+        return tree("text", node)
+
+    rows = [(n, nested(n)) for n in (0, 3, 7, 8, 15, 16, 40)] + [(-1, None), (-2, "no json"), (-3, '"[[["')]
+    df = spark.createDataFrame(rows, "n int, v string")
+    depths = {r.n: r.d for r in df.select("n", seeds.section_depth(F.col("v")).alias("d")).collect()}
+    # the wanted section's own list and the lists around it
+    assert all(depths[n] == n + 2 for n, _ in rows if n >= 0) and depths[-3] == 1
+    found = seeds.by_depth(df, "v", {"t": "personal life"}, lambda part, made: part.select("n", made["t"].alias("t")))
+    assert {r.n: r.t for r in found.collect()} == {n: f"x{n}" if n >= 0 else "" for n, _ in rows}
 
 
 def test_age_bands_fold_when_all_are_young(spark):
