@@ -525,6 +525,12 @@ ORACLES["j3_recovered_ids"] = f"SELECT md5(text) AS text_md5, id FROM ({recovere
 ORACLES["j3_benchmark_in_documents"] = (
     f"SELECT md5(text) AS text_md5, id FROM ({recovered_sql('SELECT text FROM benchmark')})"
 )
+_PIECES = (
+    "SELECT CASE WHEN n = 1 THEN substr(piece, 1, 40) ELSE piece END AS text FROM (SELECT n, array_to_string("
+    "list_slice(w, least(2, len(w)), least(2, len(w)) + n - 1), ' ') AS piece FROM (SELECT "
+    "string_split_regex(text, '\\s+') AS w, 1 + doc_id % 5 AS n FROM documents WHERE text IS NOT NULL)) WHERE piece <> ''"
+)
+ORACLES["j3_short_texts"] = f"SELECT md5(text) AS text_md5, id FROM ({recovered_sql(_PIECES)})"
 LINKED = ("linked", "SELECT s.text, d.doc_id AS id FROM subset s LEFT JOIN documents d USING (text)")
 BACK = ("back", recovered_sql("SELECT text FROM linked WHERE id IS NULL"))
 ORACLES["j4_relinked"] = cte(

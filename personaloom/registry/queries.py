@@ -637,6 +637,18 @@ def _info(spark, sf):
     )
 
 
+@query
+def j3_short_texts(spark, sf):
+    """Pieces of one to five words of the documents, many of which share their inner words."""
+    words = F.split("text", r"\s+")
+    n = (1 + F.col("doc_id") % 5).cast("int")
+    piece = F.array_join(F.slice(words, F.least(F.lit(2), F.size(words)), n), " ")
+    docs = table(spark, sf, "documents").filter("text is not null")
+    pieces = docs.select(F.when(n == 1, F.substring(piece, 1, 40)).otherwise(piece).alias("text")).filter("text <> ''")
+    found = relink.recover_ids(pieces, _master(spark, sf))
+    return found.select(F.md5("text").alias("text_md5"), "id")
+
+
 @query
 def j4_relinked(spark, sf):
     out = relink.relink(_subset(spark, sf), _master(spark, sf), _info(spark, sf))

@@ -50,6 +50,15 @@ def test_recovery_equals_brute_force(spark, lookup_rows):
     assert {r["text"]: r["id"] for r in got.collect()} == brute_force()
 
 
+def test_short_texts_with_one_inner_word_do_not_meet(spark):
+    """4,000 texts around the same word: candidates follow the texts, not their square."""
+    n = 4000
+    texts = spark.range(n).selectExpr("cast(id as string) sid", "concat('left', id, ' the right', id) low")
+    keyed, shapes = relink._needle_keys(texts)
+    hosts = relink._host_keys(texts.selectExpr("concat('x ', low, ' y') low"), shapes).select("key")
+    assert hosts.join(keyed, "key").count() <= 6 * n
+
+
 @pytest.mark.parametrize("lookup_rows", [1_000_000, 0])
 def test_recovery_with_hot_phrases(spark, lookup_rows):
     """A third of the master shares one opening, and so do the texts."""
