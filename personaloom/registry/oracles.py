@@ -338,12 +338,10 @@ def entities_json_sql(source: str) -> str:
     )
 
 
-ORACLES["c1_pattern_entities"] = cte(
-    HALVES, select=" UNION ALL ".join(entity_sql(k, _REAL, "halves") for k in PATTERNS)
-)
+ORACLES["c1_pattern_entities"] = all_entities("text", "documents")
 ORACLES["c2_person_names"] = f"SELECT doc_id, value FROM ({entity_sql('PERSON', 'text', 'documents')})"
 ORACLES["c3_model_entities"] = (
-    " UNION ALL ".join(entity_sql(k, "text", "documents") for k in PATTERNS)
+    all_entities("text", "documents")
     + " UNION ALL SELECT DISTINCT doc_id, 'ORG', source FROM documents"
 )
 ORACLES["c4_overlaps"] = cte(HALVES, USABLE, REAL, SYN, HITS, select="SELECT doc_id, type, value FROM hits")
@@ -710,11 +708,10 @@ ORACLES["a15_education_job_flow"] = (
     "sum(sum(c)) OVER (PARTITION BY stage), 6) AS value FROM flows GROUP BY stage, source, target"
 )
 
-_STRIP = trim("substr(text, 3, 40)")
 ORACLES["f_text_functions"] = (
-    f"SELECT doc_id, {_STRIP} AS stripped, cast(len(regexp_extract_all(text, '[^{BLANK}]+')) AS INTEGER) AS word_count, "
+    f"SELECT doc_id, {trim('text')} AS stripped, cast(len(regexp_extract_all(text, '[^{BLANK}]+')) AS INTEGER) AS word_count, "
     "regexp_replace(text, '[^0-9]', '', 'g') AS digits, md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS alnum_md5, "
-    r"regexp_replace(substr(text, 1, 30), '[^\p{L}\p{M}\p{N}_\-.]', '_', 'g') AS safe_name, "
+    r"regexp_replace(text, '[^\p{L}\p{M}\p{N}_\-.]', '_', 'g') AS safe_name, "
     "round(('0x' || substr(md5(doc_id || '|x'), 1, 8))::BIGINT / 4294967296.0::DOUBLE, 9) AS draw FROM documents"
 )
 

@@ -448,9 +448,7 @@ def b7_outcomes(spark, sf):
 
 @query
 def c1_pattern_entities(spark, sf):
-    h = X.halves(spark, sf)
-    found = contamination.text_entities(h, ("doc_id",), "real_person_text_input")
-    return found.filter(F.col("type") != "PERSON")
+    return contamination.text_entities(table(spark, sf, "documents"), ("doc_id",))
 
 
 @query
@@ -466,7 +464,7 @@ def c3_model_entities(spark, sf):
     other = docs.select(
         "doc_id", F.lit("ORG").alias("type"), F.concat(F.lit(" "), "source", F.lit("\n")).alias("value")
     )
-    return contamination.with_model_entities(found, other, ("doc_id",)).filter("type <> 'PERSON'")
+    return contamination.with_model_entities(found, other, ("doc_id",))
 
 
 @query
@@ -917,10 +915,10 @@ def f_text_functions(spark, sf):
     t = F.col("text")
     return table(spark, sf, "documents").select(
         "doc_id",
-        tx.strip_blanks(F.substring(t, 3, 40)).alias("stripped"),
+        tx.strip_blanks(F.concat(F.lit("\n \t"), t, F.lit("  \n"))).alias("stripped"),
         tx.word_count(t).alias("word_count"),
         tx.digits_only(t).alias("digits"),
         F.md5(tx.alnum_only(t)).alias("alnum_md5"),
-        tx.safe_name(F.substring(t, 1, 30)).alias("safe_name"),
+        tx.safe_name(t).alias("safe_name"),
         F.round(draws.uniform("doc_id", "x"), 9).alias("draw"),
     )
