@@ -4,10 +4,11 @@ All n-grams stand in one global order, the rare ones first. Two sets that are si
 among the first few of each (their prefixes), so only sets that meet there are candidates. The order is cut into
 fragments; the overlap of a candidate pair is counted in each fragment apart and summed per pair.
 
-The result is the components of the links, so pairs that are known to be connected need no count. Sets that
+The result is the components of the links, so pairs that are known to be connected need no count. Parity bits
+of each set, which give a lower bound on how far two sets are apart, rule most chance meetings out. Sets that
 share a prefix n-gram are first compared along a chain by size, a number of pairs that grows with the sets, not
 with their square; after that only pairs of sets that still lie in different components are compared, all of
-them but those that parity bits of both sets prove too far apart. Copies are one set from the start.
+them that the bits leave open. Copies are one set from the start.
 """
 
 from __future__ import annotations
@@ -51,6 +52,11 @@ class Rule:
         """The smallest overlap that links sets of these sizes."""
         return F.ceil(self.percent * (a + b) / (100 + self.percent) - 1e-6)
 
+    def bits_fit(self, a: str, b: str, n_a: str, n_b: str) -> Column:
+        """Whether parity bits leave it open that sets of these sizes link."""
+        apart = sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(_PARITY))
+        return apart <= F.col(n_a) + F.col(n_b) - 2 * self.needed(F.col(n_a), F.col(n_b))
+
     def linked(self, overlap: Column, a: Column, b: Column) -> Column:
         return 100 * overlap >= self.percent * (a + b - overlap)
 
@@ -228,7 +234,10 @@ def similarity_components(docs: DataFrame, rule: Rule | None = None) -> DataFram
     live = live.withColumn("chained", F.coalesce(fits_prev, F.lit(False))).filter(F.col("chained") | fits_next)
     live = stored(live.select("gram", "node", "n", "pos", "chained", "prev_node", "prev_n"))
     near = live.filter("chained").select(F.col("prev_node").alias("a"), F.col("node").alias("b"), F.col("prev_n").alias("n_a"), F.col("n").alias("n_b"))
-    tried = stored(overlaps(near.distinct(), nodes, docs, rule, levels))
+    bits = nodes.select("node", "bits")
+    near = near.distinct().join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
+    near = near.filter(rule.bits_fit("bits_a", "bits_b", "n_a", "n_b")).select("a", "b", "n_a", "n_b")
+    tried = stored(overlaps(near, nodes, docs, rule, levels))
     links = tried.filter(rule.linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = components(links)
 
@@ -236,11 +245,10 @@ def similarity_components(docs: DataFrame, rule: Rule | None = None) -> DataFram
     placed = live.select("gram", "node", "n", "pos").join(found, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
     apart = placed.groupBy("gram").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high")
-    placed = stored(placed.join(apart.select("gram"), "gram").join(nodes.select("node", "bits"), "node"))
+    placed = stored(placed.join(apart.select("gram"), "gram").join(bits, "node"))
     carried = ("node", "n", "pos", "component", "bits")
     left = placed.select("gram", *(F.col(c).alias(f"{c}_a") for c in carried))
     right = placed.select("gram", *(F.col(c).alias(f"{c}_b") for c in carried))
-    apart_bits = sum(F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(_PARITY))
     room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     more = left.join(
         right,
@@ -249,7 +257,7 @@ def similarity_components(docs: DataFrame, rule: Rule | None = None) -> DataFram
         & (F.col("component_a") != F.col("component_b"))
         & rule.sizes_fit(F.col("n_a"), F.col("n_b"))
         & (room >= rule.needed(F.col("n_a"), F.col("n_b")))
-        & (apart_bits <= F.col("n_a") + F.col("n_b") - 2 * rule.needed(F.col("n_a"), F.col("n_b"))),
+        & rule.bits_fit("bits_a", "bits_b", "n_a", "n_b"),
     )
     more = more.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").distinct()
     more = overlaps(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes, docs, rule, levels)
