@@ -94,7 +94,7 @@ class Slice:
 class PieceEncoder:
     """Ids of texts; keeps the ids of at most `limit` distinct pre-tokens, then starts anew."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
