@@ -193,7 +193,7 @@ def test_shards(spark, odd, odd_rows, none):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_check_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     result = con.execute(ORACLES[name])
     names = [c[0] for c in result.description]

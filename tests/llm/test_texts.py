@@ -235,8 +235,9 @@ def test_one_of_each(odd, none):
 
 def test_graph_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7), (None, 3)] + [(200, 201 + i) for i in range(50)]
-    got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
-    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 101, 103), 100), **dict.fromkeys(range(200, 251), 200)}
+    for task_edges in (500_000, 7):
+        got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long"), task_edges).collect()))
+        assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 101, 103), 100), **dict.fromkeys(range(200, 251), 200)}
 
 
 # --- licenses ----------------------------------------------------------------------------------
