@@ -31,12 +31,12 @@ LABELS = {
 }
 CONTENT_TYPES = list(LABELS)
 # The markers around a generated article.
-ARTICLE_START = "[Synthetic Article]"
-ARTICLE_END = "[Real Person Text Usage Notes]"
+ARTICLE_START = r"\[Synthetic Article\]"
+ARTICLE_END = r"\[Real Person Text Usage Notes\]"
 
 _SPELLINGS = [s for names in LABELS.values() for s in names]
 BLOCK_PATTERN = r"\[(?:" + "|".join(_SPELLINGS) + r")\][^\[]*"
-_PASSAGE_PATTERN = r"(?s)\[Synthetic Article\](.*?)\[Real Person Text Usage Notes\]"
+_PASSAGE_PATTERN = f"(?s){ARTICLE_START}(.*?){ARTICLE_END}"
 
 PAIRS = "array<struct<ContentType:string,Text:string>>"
 NAME_TYPES = ("Social Media", "Forum Post")

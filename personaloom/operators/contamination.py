@@ -43,19 +43,15 @@ def _both_sides(records: DataFrame, real: str, synthetic: str) -> DataFrame:
 
 def _attach_external(records: DataFrame, external: DataFrame, id_col: str) -> DataFrame:
     """Add model entities (id, side, type, value) to both entity arrays."""
-    def side(name: str) -> DataFrame:
-        rows = external.filter(F.col("side") == name).select(
-            id_col, F.struct("type", strip_blanks(F.col("value")).alias("value")).alias("_e")
-        )
-        return rows.groupBy(id_col).agg(F.collect_set("_e").alias(f"_ext_{name}"))
-
-    out = records
-    for name in ("real", "synthetic"):
-        none = F.expr(f"cast(array() as {ENTITY_ARRAY})")
-        out = out.join(side(name), id_col, "left").withColumn(
-            f"_{name}",
-            F.array_union(F.col(f"_{name}"), F.coalesce(F.col(f"_ext_{name}"), none)),
-        )
+    entity = F.struct("type", strip_blanks(F.col("value")).alias("value"))
+    sides = ("real", "synthetic")
+    found = external.groupBy(id_col).agg(
+        *[F.collect_set(F.when(F.col("side") == name, entity)).alias(f"_ext_{name}") for name in sides]
+    )
+    none = F.expr(f"cast(array() as {ENTITY_ARRAY})")
+    out = records.join(found, id_col, "left").withColumns(
+        {f"_{name}": F.array_union(f"_{name}", F.coalesce(f"_ext_{name}", none)) for name in sides}
+    )
     return out.drop("_ext_real", "_ext_synthetic")
 
 

@@ -14,7 +14,6 @@ from personaloom.operators.pairing import rows_between
 
 # Up to this many rows a sort keeps the top rows per task; beyond it, hash ranges are counted first.
 TOP_ROWS = 1000
-HASH_RANGES = 65536
 
 
 def _hash_range(h: Column) -> Column:

@@ -27,6 +27,7 @@ from personaloom.operators import (
 )
 from personaloom.plans.corpus_build import build_corpus
 from personaloom.plans.lineage import ensure_checkpoint_dir
+from personaloom.plans.mention_report import PROFILE_COLUMNS
 from personaloom.registry import fixtures as X
 from personaloom.registry.fixtures import table
 from personaloom.sources import readers, writers
@@ -716,11 +717,6 @@ def first_profiles(spark, sf):
     return sampling.keep_first(f, "unique_id", [*ROW, "content_pair_index"])
 
 
-PROFILE_COLUMNS = [
-    "gender", "nationality", "job_title", "education_info", "locale", "marital_status", "finance_status",
-]
-
-
 @query
 def a2_profile_values(spark, sf):
     return stats.value_counts(first_profiles(spark, sf), PROFILE_COLUMNS)
