@@ -6,9 +6,9 @@ fragments; the overlap of a candidate pair is counted in each fragment apart and
 
 The result is the components of the links, so pairs that are known to be connected need no count. Parity bits
 of each set, which give a lower bound on how far two sets are apart, rule most chance meetings out. Sets that
-share a prefix n-gram are first compared along a chain by size, a number of pairs that grows with the sets, not
-with their square; after that only pairs of sets that still lie in different components are compared, all of
-them that the bits leave open. Copies are one set from the start.
+share a prefix n-gram are first compared with the closest of their neighbours by size, one pair per set; after
+that only pairs of sets that still lie in different components are compared, the closest first, then all that
+the bits leave open. Copies are one set from the start.
 """
 
 from __future__ import annotations
@@ -52,10 +52,9 @@ class Rule:
         """The smallest overlap that links sets of these sizes."""
         return F.ceil(self.percent * (a + b) / (100 + self.percent) - 1e-6)
 
-    def bits_fit(self, a: str, b: str, n_a: str, n_b: str) -> Column:
-        """Whether parity bits leave it open that sets of these sizes link."""
-        apart = sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(_PARITY))
-        return apart <= F.col(n_a) + F.col(n_b) - 2 * self.needed(F.col(n_a), F.col(n_b))
+    def bits_fit(self, apart: Column, a: Column, b: Column) -> Column:
+        """Whether it is open that sets of these sizes link, whose parity bits differ in `apart` places."""
+        return apart <= a + b - 2 * self.needed(a, b)
 
     def linked(self, overlap: Column, a: Column, b: Column) -> Column:
         return 100 * overlap >= self.percent * (a + b - overlap)
@@ -137,6 +136,10 @@ def parity(places: np.ndarray) -> np.ndarray:
     return np.packbits(each.astype(np.uint8)).view(np.int64)
 
 
+def bits_apart(a: str, b: str) -> Column:
+    return sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(_PARITY))
+
+
 def profiles(docs: DataFrame, rule: Rule, levels) -> DataFrame:
     """doc_id, n (size of the set), node (id of the set, null for none), its prefix and its parity bits."""
 
@@ -208,6 +211,19 @@ def overlaps(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, le
     return partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("overlap"))
 
 
+def _closest(pairs: DataFrame, end: str, most: int) -> DataFrame:
+    """The pairs of each node at one end whose bits are the least apart."""
+    rank = F.row_number().over(Window.partitionBy(end).orderBy("apart", "a", "b"))
+    return pairs.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, levels) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) that were counted, and the links (u, v) among them."""
+    done = stored(overlaps(pairs.select("a", "b", "n_a", "n_b"), nodes, docs, rule, levels))
+    links = done.filter(rule.linked(F.col("overlap"), F.col("n_a"), F.col("n_b")))
+    return done.select("a", "b"), links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
 def similarity_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
@@ -236,9 +252,9 @@ def similarity_components(docs: DataFrame, rule: Rule | None = None) -> DataFram
     near = live.filter("chained").select(F.col("prev_node").alias("a"), F.col("node").alias("b"), F.col("prev_n").alias("n_a"), F.col("n").alias("n_b"))
     bits = nodes.select("node", "bits")
     near = near.distinct().join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
-    near = near.filter(rule.bits_fit("bits_a", "bits_b", "n_a", "n_b")).select("a", "b", "n_a", "n_b")
-    tried = stored(overlaps(near, nodes, docs, rule, levels))
-    links = tried.filter(rule.linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    near = near.select("a", "b", "n_a", "n_b", bits_apart("bits_a", "bits_b").alias("apart"))
+    near = _closest(near.filter(rule.bits_fit(F.col("apart"), F.col("n_a"), F.col("n_b"))), "b", 1)
+    tried, links = _verified(near, nodes, docs, rule, levels)
     found = components(links)
 
     # sets that share a prefix n-gram and still lie in different components
@@ -257,14 +273,22 @@ def similarity_components(docs: DataFrame, rule: Rule | None = None) -> DataFram
         & (F.col("component_a") != F.col("component_b"))
         & rule.sizes_fit(F.col("n_a"), F.col("n_b"))
         & (room >= rule.needed(F.col("n_a"), F.col("n_b")))
-        & rule.bits_fit("bits_a", "bits_b", "n_a", "n_b"),
+        & rule.bits_fit(bits_apart("bits_a", "bits_b"), F.col("n_a"), F.col("n_b")),
     )
-    more = more.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").distinct()
-    more = overlaps(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), nodes, docs, rule, levels)
-    extra = more.filter(rule.linked(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    extra = stored(extra)
-    if not extra.isEmpty():
-        found = components(links.unionByName(extra))
+    more = more.select(
+        F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", bits_apart("bits_a", "bits_b").alias("apart")
+    )
+    more = stored(more.distinct())
+    for most in (2, None):  # the closest of each set first, which connects most; then all that still lie apart
+        ends = [found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")]
+        open_ = more.join(tried, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        open_ = open_.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
+        open_ = stored(_closest(open_, "a", most) if most else open_)
+        if open_.isEmpty():
+            break
+        again, extra = _verified(open_, nodes, docs, rule, levels)
+        tried, links = tried.unionByName(again), links.unionByName(extra)
+        found = components(links)
 
     named = nodes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -281,10 +305,15 @@ def one_of_each(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
 
     Of repeated rows of that id the smallest text stays. Rows with null ids stay as they are.
     """
-    rule = rule or Rule()
-    keep = similarity_components(docs, rule).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
+    found = similarity_components(docs, rule or Rule()).filter("doc_id is not null")
+    found = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("_keep"))
+    # ids that go, and ids that stay but stand in several rows; all other rows pass untouched
+    special = stored(found.filter("not _keep or _n > 1").select("doc_id", "_keep"))
+    small = special.count() * 32 <= BROADCAST_BYTES
+    side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    plain = docs.join(side(special.select("doc_id")), "doc_id", "left_anti")
+    repeated = docs.join(side(special.filter("_keep").select("doc_id")), "doc_id", "left_semi")
     others = [c for c in docs.columns if c != "doc_id"]
-    first = kept.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in others if c != "text"])).alias("_row"))
-    first = first.select("doc_id", *(F.col(f"_row.`{c}`").alias(c) for c in others)).select(*docs.columns)
-    return first.unionByName(docs.filter("doc_id is null"))
+    first = repeated.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in others if c != "text"])).alias("_row"))
+    first = first.select("doc_id", *(F.col(f"_row.`{c}`").alias(c) for c in others))
+    return plain.select(*docs.columns).unionByName(first.select(*docs.columns))
