@@ -28,7 +28,8 @@ def propagate(linked: DataFrame, shards: int, capacity: int, rounds: int) -> Dat
 
     A row's neighbours are all rows of its link: their bytes per shard are sums by (link, shard), so no edge is
     ever listed and a link of any size has `shards` sums. In each round a row wants the shard with room that
-    holds the most of its link, if that is more than its own shard holds. Moves into a shard are accepted in
+    holds the most of its link, if that is more than its own shard holds; of a link that is too large for that
+    shard, the parts in the shards that hold the least go to those that hold the most, in pairs. Moves into a shard are accepted in
     the order of a hash of the link, whole links first, as far as the shard's room goes.
     """
     for _ in range(rounds):
@@ -36,8 +37,19 @@ def propagate(linked: DataFrame, shards: int, capacity: int, rounds: int) -> Dat
         held = linked.groupBy("link", "shard").agg(F.sum("size").alias("held"))
         rank = F.struct("held", F.pmod(F.xxhash64("link", "shard"), F.lit(1 << 20)).alias("tie"), "shard")
         mine = Window.partitionBy("link")  # at most one row per shard
-        open_shards = F.col("shard").isin([s for s in range(shards) if room[s] > 0])
-        wish = held.withColumn("best", F.max(F.when(open_shards, rank)).over(mine)).filter(F.col("best") > rank)
+        rooms = F.create_map(*[F.lit(x) for pair in enumerate(room) for x in pair])
+        ranked = held.select("link", "shard", "held", rank.alias("rank"))
+        ranked = ranked.withColumn("tops", F.collect_list(F.when(rooms[F.col("shard")] > 0, F.col("rank"))).over(mine))
+        ranked = ranked.withColumns(
+            {
+                "tops": F.reverse(F.array_sort("tops")),
+                "all": F.sum("held").over(mine),
+                "at": F.row_number().over(mine.orderBy("rank")) - 1,
+            }
+        )
+        whole = F.col("all") <= rooms[F.get("tops", F.lit(0))["shard"]]
+        best = F.when(whole, F.get("tops", F.lit(0))).otherwise(F.get("tops", F.col("at")))
+        wish = ranked.withColumn("best", best).filter(F.col("best") > F.col("rank"))
         wish = wish.select("link", "shard", F.col("best.shard").alias("to"))
         upper = F.shiftrightunsigned(F.xxhash64("link", F.lit(1)), 52)
         order = F.shiftleft(upper, PLACE_BITS - 12) + F.shiftright("place", 12)
