@@ -87,9 +87,12 @@ def format_turns(turns: DataFrame, tokenizer: str, loss_role: str = "assistant")
 
 
 def write_formatted(turns: DataFrame, path: str, tokenizer: str) -> None:
-    """The formatted turns as Parquet, conversations in order; ranges of (conv_id, turn) split a long one over files."""
-    rows = format_turns(turns, tokenizer)
-    rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn").write.parquet(path)
+    """The formatted turns as Parquet, conversations in order; ranges of (conv_id, turn) split a long one over files.
+
+    Turns are put in order before they are encoded, so that the ranges are found without encoding anything.
+    """
+    ordered = turns.select("conv_id", "turn", "role", "text").repartitionByRange("conv_id", "turn")
+    format_turns(ordered.sortWithinPartitions("conv_id", "turn"), tokenizer).write.parquet(path)
 
 
 def read_turns(formatted: DataFrame, tokenizer: str) -> DataFrame:
