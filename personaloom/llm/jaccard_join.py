@@ -31,6 +31,8 @@ SKETCH_BITS = 20
 _CHUNK = 1 << 12
 _LEVEL = 60  # the bits of an n-gram's place in the order below its frequency level
 _FRAGMENTS = 8
+#: Rounds of comparing neighbours before all sets that still lie apart are compared.
+CHAINS = 3
 _PARITY = 8  # longs of a set's parity bits
 BROADCAST_BYTES = 32_000_000
 
@@ -168,47 +170,46 @@ def profiles(docs: DataFrame, rule: Rule, levels) -> DataFrame:
 
 
 def segments(docs: DataFrame, rule: Rule, levels, wanted: DataFrame) -> DataFrame:
-    """node, fragment and its n-grams, for the sets in `wanted` (node, rep): vertical pieces of the set."""
+    """node and its n-grams by fragment, one array each, for the sets in `wanted` (node, rep)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
-            node, fragment, counts, values = [], [], [], []
+            node, counts, values = [], [], []
             for wanted_node, found in zip(batch.column("node").to_pylist(), _sets(batch, rule.n), strict=True):
                 places = ordered(found, levels.value)
                 if not len(places) or set_id(places) != wanted_node:  # another text under the same id
                     continue
                 part = (places >> np.uint64(_LEVEL + 1)).astype(np.int64)
-                each = np.bincount(part, minlength=_FRAGMENTS)
-                used = np.flatnonzero(each)
-                node += [wanted_node] * len(used)
-                fragment.append(used)
-                counts.append(each[used])
+                node.append(wanted_node)
+                counts.append(np.bincount(part, minlength=_FRAGMENTS))
                 values.append(places)
             if node:
-                yield pa.record_batch(
-                    [
-                        pa.array(node, pa.int64()),
-                        pa.array(np.concatenate(fragment), pa.int32()),
-                        list_column(np.concatenate(values).view(np.int64), np.concatenate(counts), pa.int64()),
-                    ],
-                    ["node", "fragment", "grams"],
-                )
+                grams = list_column(np.concatenate(values).view(np.int64), np.concatenate(counts), pa.int64())
+                edges = pa.array(np.arange(len(node) + 1, dtype=np.int32) * _FRAGMENTS)
+                yield pa.record_batch([pa.array(node, pa.int64()), pa.ListArray.from_arrays(edges, grams)], ["node", "fragments"])
 
     small = wanted.agg((F.count(F.lit(1)) * 32).alias("b")).first()["b"] <= BROADCAST_BYTES
     side = F.broadcast(wanted) if small else wanted
     texts = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    return texts.mapInArrow(run, "node bigint, fragment int, grams array<bigint>").dropDuplicates(["node", "fragment"])
+    found = texts.mapInArrow(run, "node bigint, fragments array<array<bigint>>")
+    return found.groupBy("node").agg(F.first("fragments").alias("fragments"))
 
 
 def overlaps(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, levels) -> DataFrame:
-    """a, b, their sizes and their overlap: counted per fragment, summed per pair."""
-    pairs = stored(pairs)
+    """a, b, their sizes and their overlap: counted in each fragment apart, then summed.
+
+    Both joins are on whole sets, so that the sets are dealt out by node once for both of them.
+    """
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    parts = stored(segments(docs, rule, levels, stored(ends.join(nodes.select("node", "rep"), "node"))))
-    first = pairs.join(parts.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("left")), "a")
-    both = first.join(parts.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("right")), ["b", "fragment"])
-    partial = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("left", "right")).alias("shared"))
-    return partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("overlap"))
+    parts = segments(docs, rule, levels, stored(ends.join(nodes.select("node", "rep"), "node")))
+    both = pairs.join(parts.toDF("a", "left"), "a").join(parts.toDF("b", "right"), "b")
+    shared = F.zip_with("left", "right", lambda x, y: F.size(F.array_intersect(x, y)))
+    return both.select("a", "b", "n_a", "n_b", F.aggregate(shared, F.lit(0), lambda n, x: n + x).alias("overlap"))
+
+
+def _placed(live: DataFrame, found: DataFrame) -> DataFrame:
+    """Prefix rows with the component that their set has so far."""
+    return live.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def _closest(pairs: DataFrame, end: str, most: int) -> DataFrame:
@@ -242,24 +243,32 @@ def similarity_components(docs: DataFrame, rule: Rule | None = None) -> DataFram
     )
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
     chain = Window.partitionBy("gram").orderBy("n", "node")
-    live = rows.select(
-        "gram", "node", "n", "pos", *(f(c).over(chain).alias(f"{name}_{c}") for name, f in (("prev", F.lag), ("next", F.lead)) for c in ("node", "n"))
-    )
-    fits_prev = F.col("prev_node").isNotNull() & rule.sizes_fit(F.col("prev_n"), F.col("n"))
-    fits_next = F.col("next_node").isNotNull() & rule.sizes_fit(F.col("n"), F.col("next_n"))
-    live = live.withColumn("chained", F.coalesce(fits_prev, F.lit(False))).filter(F.col("chained") | fits_next)
-    live = stored(live.select("gram", "node", "n", "pos", "chained", "prev_node", "prev_n"))
-    near = live.filter("chained").select(F.col("prev_node").alias("a"), F.col("node").alias("b"), F.col("prev_n").alias("n_a"), F.col("n").alias("n_b"))
+    live = rows.select("gram", "node", "n", "pos", F.lag("n").over(chain).alias("_less"), F.lead("n").over(chain).alias("_more"))
+    fits = F.coalesce(rule.sizes_fit(F.col("_less"), F.col("n")), F.lit(False)) | F.coalesce(rule.sizes_fit(F.col("n"), F.col("_more")), F.lit(False))
+    live = stored(live.filter(fits).drop("_less", "_more"))
     bits = nodes.select("node", "bits")
-    near = near.distinct().join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
-    near = near.select("a", "b", "n_a", "n_b", bits_apart("bits_a", "bits_b").alias("apart"))
-    near = _closest(near.filter(rule.bits_fit(F.col("apart"), F.col("n_a"), F.col("n_b"))), "b", 1)
-    tried, links = _verified(near, nodes, docs, rule, levels)
-    found = components(links)
-
-    # sets that share a prefix n-gram and still lie in different components
-    placed = live.select("gram", "node", "n", "pos").join(found, "node", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "node"))
+    none = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    tried, links = none, none.toDF("u", "v")
+    found = none.toDF("node", "component")
+    for turn in range(CHAINS):
+        # along each gram's sets by size: neighbours that are not connected yet
+        placed = _placed(live, found)
+        order = Window.partitionBy("gram").orderBy("n", F.xxhash64("node", F.lit(turn)))
+        near = placed.select("node", "n", "component", *(F.lag(c).over(order).alias(f"prev_{c}") for c in ("node", "n", "component")))
+        near = near.filter((F.col("prev_component") != F.col("component")) & rule.sizes_fit(F.col("prev_n"), F.col("n")))
+        near = near.select(F.col("prev_node").alias("a"), F.col("node").alias("b"), F.col("prev_n").alias("n_a"), F.col("n").alias("n_b"))
+        near = near.distinct().join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
+        near = near.select("a", "b", "n_a", "n_b", bits_apart("bits_a", "bits_b").alias("apart"))
+        near = near.filter(rule.bits_fit(F.col("apart"), F.col("n_a"), F.col("n_b"))).join(tried, ["a", "b"], "left_anti")
+        near = stored(_closest(near, "b", 1))
+        if near.isEmpty():
+            break
+        again, extra = _verified(near, nodes, docs, rule, levels)
+        tried, links = tried.unionByName(again), links.unionByName(extra)
+        found = components(links)
+
+    # all sets that share a prefix n-gram and still lie in different components
+    placed = _placed(live, found)
     apart = placed.groupBy("gram").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high")
     placed = stored(placed.join(apart.select("gram"), "gram").join(bits, "node"))
     carried = ("node", "n", "pos", "component", "bits")
