@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def bounded(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows whose texts have at most `limit` bytes together, one row at least."""
     for batch in batches:
         if not batch.num_rows:
