@@ -10,6 +10,10 @@ from personaloom.llm.thresholds import PLACE_BITS, nested_cuts, place_of
 
 #: Rows per block within which slots are numbered by a sort.
 SLOT_ROWS = 20_000
+#: Links of more than a share's BIG-th part are dealt out one by one; there are at most shards * BIG of them.
+BIG = 16
+#: Lower bits of a row's order that its place fills; the bits above are its link's.
+_ROW_BITS = 12
 
 
 def _below(cuts: dict[int, int], group: Column, place: Column) -> Column:
@@ -23,18 +27,96 @@ def _loads(rows: DataFrame, shards: int) -> list[int]:
     return [int(found.get(s, 0)) for s in range(shards)]
 
 
-def propagate(linked: DataFrame, shards: int, capacity: int, rounds: int) -> DataFrame:
+def _fill(loads: list[int], free: int) -> list[int]:
+    """The bytes that each shard gets of `free`: the least loaded are raised to one level."""
+    held = sorted(loads)
+    for n in range(len(held), 0, -1):
+        level = -(-(sum(held[:n]) + free) // n)
+        if level >= held[n - 1]:
+            break
+    return [max(0, level - x) for x in loads]
+
+
+def _order() -> Column:
+    """A row's place in a line of links: a hash of the link, then the row's own place."""
+    link = F.shiftrightunsigned(F.xxhash64("link", F.lit(1)), 64 - PLACE_BITS + _ROW_BITS)
+    return F.shiftleft(link, _ROW_BITS) + F.shiftright("place", PLACE_BITS - _ROW_BITS)
+
+
+def packed(sizes: dict[int, int], room: list[int]) -> dict[int, list[tuple[int, int]]]:
+    """For each link the shards that take it and how many of its bytes; `room` is lowered by them.
+
+    The largest come first. A link goes whole to the shard that it leaves the least room in; one that no shard
+    has room for goes to those with the most room, so to as few as can be then.
+    """
+    plan = {}
+    for link, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        fit = [s for s, r in enumerate(room) if r >= size]
+        order = [min(fit, key=lambda s: (room[s], s))] if fit else sorted(range(len(room)), key=lambda s: (-room[s], s))
+        plan[link] = []
+        for s in order:
+            if size > 0:
+                take = min(size, room[s])
+                plan[link].append((s, take))
+                room[s] -= take
+                size -= take
+    return plan
+
+
+def _begun(linked: DataFrame, sums: DataFrame, shards: int, share: int) -> DataFrame:
+    """Linked rows with the shard that they start at: each link in one shard, but for those that have to be cut.
+
+    `sums` has link and all (its bytes). Large links are dealt out by `packed`. The others stand in a line by a
+    hash, which is cut by bytes where the shards' remaining rooms end; they fill the same part of each room.
+    """
+    large = {r["link"]: r["all"] for r in sums.filter(F.col("all") * BIG > share).collect()}
+    room = [share] * shards
+    plan = packed(large, room)
+    small = (linked.agg(F.sum("size").alias("s")).first()["s"] or 0) - sum(large.values())
+    ends = [sum(room[: s + 1]) * small // max(1, sum(room)) for s in range(shards)]
+    budgets, takers = {0: ends[:-1]}, {0: list(range(shards))}
+    known = []
+    for link, parts in plan.items():
+        takers[len(takers)] = [s for s, _ in parts]
+        budgets[len(budgets)] = [sum(n for _, n in parts[: i + 1]) for i in range(len(parts) - 1)]
+        known.append(F.struct(F.lit(link).alias("link"), F.lit(len(takers) - 1).alias("_group")))
+    if known:
+        known = linked.sparkSession.range(1).select(F.inline(F.array(*known)))
+        rows = linked.join(F.broadcast(known), "link", "left").withColumn("_group", F.coalesce("_group", F.lit(0)))
+    else:
+        rows = linked.withColumn("_group", F.lit(0))
+    rows = rows.withColumn("_at", F.when(F.col("_group") == 0, _order()).otherwise(F.col("place")))
+    parted = {g: b for g, b in budgets.items() if b}
+    line = rows.filter(F.col("_group").isin(list(parted))).select(F.col("_group").alias("group"), F.col("_at").alias("place"), "size")
+    cuts = nested_cuts(line, parted) if parted else {}
+
+    def of_group(values: dict[int, list[int]]) -> Column:
+        listed = [F.array(*[F.lit(int(x)) for x in v]).cast("array<bigint>") for v in values.values()]
+        return F.element_at(F.create_map(*[x for g, v in zip(values, listed, strict=True) for x in (F.lit(g), v)]), F.col("_group"))
+
+    below = F.size(F.filter(of_group({g: cuts.get(g, []) for g in takers}), lambda c: c <= F.col("_at")))
+    return stored(rows.withColumn("shard", F.get(of_group(takers), below).cast("int")).drop("_group", "_at"))
+
+
+def propagate(linked: DataFrame, shards: int, capacity: int) -> DataFrame:
     """Moves linked rows (link, place, size, shard and others) towards the shard where most of their link is.
 
     A row's neighbours are all rows of its link: their bytes per shard are sums by (link, shard), so no edge is
     ever listed and a link of any size has `shards` sums. In each round a row wants the shard with room that
     holds the most of its link, if that is more than its own shard holds; of a link that is too large for that
     shard, the parts in the shards that hold the least go to those that hold the most, in pairs. Moves into a shard are accepted in
-    the order of a hash of the link, whole links first, as far as the shard's room goes.
+    the order of a hash of the link, whole links first, as far as the shard's room goes. Rounds go on until one
+    accepts no move, or leaves as many parts of links and as many bytes apart from their link's largest part.
     """
-    for _ in range(rounds):
-        room = [capacity - x for x in _loads(linked, shards)]
+    cut = None
+    while True:
         held = linked.groupBy("link", "shard").agg(F.sum("size").alias("held"))
+        links = held.groupBy("link").agg(F.count(F.lit(1)).alias("n"), (F.sum("held") - F.max("held")).alias("apart"))
+        now = links.filter("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("apart"), F.lit(0)).alias("apart")).first()
+        if now["n"] == 0 or (cut is not None and now["n"] >= cut["n"] and now["apart"] >= cut["apart"]):
+            break
+        cut = now
+        room = [capacity - x for x in _loads(linked, shards)]
         rank = F.struct("held", F.pmod(F.xxhash64("link", "shard"), F.lit(1 << 20)).alias("tie"), "shard")
         mine = Window.partitionBy("link")  # at most one row per shard
         rooms = F.create_map(*[F.lit(x) for pair in enumerate(room) for x in pair])
@@ -47,49 +129,54 @@ def propagate(linked: DataFrame, shards: int, capacity: int, rounds: int) -> Dat
                 "at": F.row_number().over(mine.orderBy("rank")) - 1,
             }
         )
-        whole = F.col("all") <= rooms[F.get("tops", F.lit(0))["shard"]]
-        best = F.when(whole, F.get("tops", F.lit(0))).otherwise(F.get("tops", F.col("at")))
+        most = F.get("tops", F.lit(0))
+        whole = F.col("all") - most["held"] <= rooms[most["shard"]]  # what the shard holds is in its load
+        best = F.when(whole, most).otherwise(F.get("tops", F.col("at")))
         wish = ranked.withColumn("best", best).filter(F.col("best") > F.col("rank"))
         wish = wish.select("link", "shard", F.col("best.shard").alias("to"))
-        upper = F.shiftrightunsigned(F.xxhash64("link", F.lit(1)), 52)
-        order = F.shiftleft(upper, PLACE_BITS - 12) + F.shiftright("place", 12)
-        now = linked.join(wish, ["link", "shard"], "left").withColumn("order", order)
-        moves = now.filter("to is not null").select(F.col("to").alias("group"), F.col("order").alias("place"), "size")
+        placed = linked.join(wish, ["link", "shard"], "left").withColumn("order", _order())
+        moves = placed.filter("to is not null").select(F.col("to").alias("group"), F.col("order").alias("place"), "size")
         cuts = nested_cuts(moves, {s: [room[s]] for s in range(shards) if room[s] > 0})
         if not any(c[0] for c in cuts.values()):
             break
         moved = F.col("to").isNotNull() & _below({g: c[0] for g, c in cuts.items()}, F.col("to"), F.col("order"))
         before = linked.columns
-        linked = stored(now.withColumn("shard", F.when(moved, F.col("to")).otherwise(F.col("shard"))).select(*before))
+        linked = stored(placed.withColumn("shard", F.when(moved, F.col("to")).otherwise(F.col("shard"))).select(*before))
     return linked
 
 
-def assign(rows: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
+def assign(rows: DataFrame, shards: int = 16) -> DataFrame:
     """`rows` with `shard`: near-equal sums of `size` (at least 1 each), linked rows together as far as room allows.
 
-    `rows` has link (null: none), place and size, and may have more. Linked rows start at hashed shards and
-    move by `propagate`, at most an equal share of all bytes per shard; what a shard holds beyond its share goes
-    back. Unlinked rows then fill every shard up to its share, by thresholds on their hashed places.
+    `rows` has link (null: none), place and size, and may have more. Each link starts in one shard where one has
+    room for it, and what is cut moves by `propagate`, at most an equal share of all bytes per shard; what a
+    shard holds beyond its share goes back, rows of cut links first. Unlinked rows then fill the
+    shards up to one level, by thresholds on their hashed places.
     A row that is larger than a share makes its shard too large. An empty table gives an empty one.
     """
-    counts = rows.filter("link is not null").groupBy("link").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    marked = rows.join(counts.select("link", F.lit(True).alias("_linked")), "link", "left")
-    start = F.pmod(F.xxhash64("place", F.lit(7)), F.lit(shards)).cast("int")
-    marked = stored(marked.withColumns({"_linked": F.coalesce("_linked", F.lit(False)), "shard": start}))
+    sums = rows.filter("link is not null").groupBy("link").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("all")).filter("_n > 1")
+    sums = stored(sums.select("link", "all"))
+    marked = rows.join(sums.select("link", F.lit(True).alias("_linked")), "link", "left")
+    marked = stored(marked.withColumns({"_linked": F.coalesce("_linked", F.lit(False)), "shard": F.lit(0)}))
     total = marked.agg(F.sum("size").alias("s")).first()["s"] or 0
     share = -(-int(total) // shards)
-    linked = propagate(marked.filter("_linked"), shards, share, rounds)
+    linked = propagate(_begun(marked.filter("_linked"), sums, shards, share), shards, share)
     loads = _loads(linked, shards)
-    over = {s: [share] for s in range(shards) if loads[s] > share}
+    # parts of cut links end between two rows, so a shard may hold most of one row more than its share
+    row = min(linked.agg(F.max("size").alias("m")).first()["m"] or 0, share // 64)
+    over = {s: [share + row] for s in range(shards) if loads[s] > share + row}
     if over:
-        cuts = nested_cuts(linked.select(F.col("shard").alias("group"), "place", "size"), over)
-        back = F.col("shard").isin(list(over)) & ~_below({g: c[0] for g, c in cuts.items()}, F.col("shard"), F.col("place"))
-        linked = stored(linked.withColumn("_linked", ~back))
+        apart = linked.groupBy("link").agg(F.count_distinct("shard").alias("_n")).filter("_n > 1").select("link", F.lit(1).alias("_apart"))
+        last = F.shiftleft(F.coalesce("_apart", F.lit(0)).cast("bigint"), PLACE_BITS - 1) + F.shiftright(_order(), 1)
+        linked = stored(linked.join(apart, "link", "left").withColumn("_last", last).drop("_apart"))
+        cuts = nested_cuts(linked.select(F.col("shard").alias("group"), F.col("_last").alias("place"), "size"), over)
+        back = F.col("shard").isin(list(over)) & ~_below({g: c[0] for g, c in cuts.items()}, F.col("shard"), F.col("_last"))
+        linked = stored(linked.withColumn("_linked", ~back).drop("_last"))
         loads = _loads(linked.filter("_linked"), shards)
     free = linked.filter("not _linked").unionByName(marked.filter("not _linked"))
     budgets, done = [], 0
-    for s in range(shards - 1):
-        done += max(0, share - loads[s])
+    for n in _fill(loads, int(total) - sum(loads))[:-1]:
+        done += n
         budgets.append(done)
     cuts = nested_cuts(free.select(F.lit(0).alias("group"), "place", "size"), {0: budgets})[0]
     filled = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("place")))
@@ -113,7 +200,7 @@ def with_slots(rows: DataFrame, shards: int) -> DataFrame:
     return numbered.join(sizes, ["shard", "_block"]).withColumn("slot", F.col("_before") + F.col("_at")).drop("_block", "_at", "_before")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot and grown_shard (null) of every row; equal texts are linked.
 
     The size is the text's UTF-8 bytes (null: none) plus 1; a null text has the checksum of nothing. Nulls are
@@ -126,7 +213,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 4) -> DataF
         F.crc32(raw).alias("text_crc32"),
         F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("link"),
     ).withColumn("place", place_of("doc_id", "link", "size"))
-    done = stored(assign(stored(rows), shards, rounds))
+    done = stored(assign(stored(rows), shards))
     return with_slots(done, shards).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "link"
     )

@@ -187,6 +187,23 @@ def test_shards(spark, odd, odd_rows, none):
     assert sharding.shard_documents(none, 4).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("groups", "copies", "single", "whole", "parts"),
+    [(72, 40, 320, 72, 1), (75, 40, 0, 64, 4), (600, 5, 0, 585, 2), (3, 1000, 100, 0, 7)],
+)
+def test_shards_of_many_links(spark, groups, copies, single, whole, parts):
+    """Nine tenths of the bytes, or all, are linked: what fits one shard is not cut, the rest in few shards."""
+    rows = [(i, f"group {i % groups:05}") for i in range(groups * copies)] + [(10**6 + i, f"alone {i:05}") for i in range(single)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 16).collect()
+    sizes, found, texts = Counter(), {}, dict(rows)
+    for r in got:
+        sizes[r.shard] += r.size
+        found.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert len(got) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 5 * 12
+    linked = [len(s) for t, s in found.items() if t.startswith("group")]
+    assert sum(n == 1 for n in linked) >= whole and max(linked) <= parts
+
+
 # --- registration ------------------------------------------------------------------------------
 
 
