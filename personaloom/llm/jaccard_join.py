@@ -143,7 +143,9 @@ def bits_apart(a: str, b: str) -> Column:
 
 
 def profiles(docs: DataFrame, rule: Rule, levels) -> DataFrame:
-    """doc_id, n (size of the set), node (id of the set, null for none), its prefix and its parity bits."""
+    """The columns of `docs` but text, n (size of the set), node (its id, null for none), its prefix and its parity bits."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    names = [f.name for f in kept]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
@@ -156,17 +158,17 @@ def profiles(docs: DataFrame, rule: Rule, levels) -> DataFrame:
                 bits.append(parity(places))
             yield pa.record_batch(
                 [
-                    batch.column("doc_id"),
+                    *(batch.column(c) for c in names),
                     pa.array(n, pa.int64()),
                     pa.array(node, pa.int64()),
                     list_column(np.concatenate(prefix).view(np.int64), np.array([len(p) for p in prefix]), pa.int64()),
                     list_column(np.concatenate(bits), np.full(len(bits), _PARITY), pa.int64()),
                 ],
-                ["doc_id", "n", "node", "prefix", "bits"],
+                [*names, "n", "node", "prefix", "bits"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, node bigint, prefix array<bigint>, bits array<bigint>")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    return docs.mapInArrow(run, f"{schema}, n bigint, node bigint, prefix array<bigint>, bits array<bigint>")
 
 
 def segments(docs: DataFrame, rule: Rule, levels, wanted: DataFrame) -> DataFrame:
@@ -225,14 +227,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, l
     return done.select("a", "b"), links.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def similarity_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
-
-    Null and empty texts have no n-grams and link with nothing; their component_id is their own id. Rows with
-    a null id take part in links; a component of null ids only has a null component_id. Repeated rows are copies.
-    Other columns are left out.
-    """
-    rule = rule or Rule()
+def _linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """The profile of every row of `docs` (doc_id, text and others); node, component and component_id of every set."""
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(frequency_levels(docs, rule))
     every = stored(profiles(docs, rule, levels))
@@ -301,8 +297,18 @@ def similarity_components(docs: DataFrame, rule: Rule | None = None) -> DataFram
 
     named = nodes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.select("node", "component").join(smallest, "component").select("node", "component_id")
-    return every.join(named, "node", "left").select(
+    return every, named.select("node", "component").join(smallest, "component")
+
+
+def similarity_components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+
+    Null and empty texts have no n-grams and link with nothing; their component_id is their own id. Rows with
+    a null id take part in links; a component of null ids only has a null component_id. Repeated rows are copies.
+    Other columns are left out.
+    """
+    every, named = _linked(docs.select("doc_id", "text"), rule or Rule())
+    return every.join(named.select("node", "component_id"), "node", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
@@ -310,19 +316,27 @@ def similarity_components(docs: DataFrame, rule: Rule | None = None) -> DataFram
 
 
 def one_of_each(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest doc_id.
+    """One row of each component, with all its columns: of the rows of its smallest doc_id that with the smallest text.
 
-    Of repeated rows of that id the smallest text stays. Rows with null ids stay as they are.
+    Each row counts with its own text, whatever other rows of its id hold. A component's rows with null ids are
+    decided apart from its others: one of them stays as well. Rows without n-grams pass untouched.
     """
-    found = similarity_components(docs, rule or Rule()).filter("doc_id is not null")
-    found = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("_keep"))
-    # ids that go, and ids that stay but stand in several rows; all other rows pass untouched
-    special = stored(found.filter("not _keep or _n > 1").select("doc_id", "_keep"))
-    small = special.count() * 32 <= BROADCAST_BYTES
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    every, named = _linked(keyed, rule or Rule())
+    placed = every.select("doc_id", "key", "node").join(named.select("node", "component"), "node")
+    placed = stored(placed.select("doc_id", "key", "component", F.col("doc_id").isNull().alias("nameless")))
+    ids = placed.groupBy("component", "nameless", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    best = ids.groupBy("component", "nameless").agg(F.min(F.struct("doc_id", "rows")).alias("best"))
+    # rows that go, and rows of which one stays by its text; all others pass untouched
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
+    special = placed.join(best, ["component", "nameless"]).withColumn("stays", stays).filter("not stays or best.rows > 1")
+    special = stored(special.select("doc_id", "key", "component", "nameless", "stays")).distinct()
+    special = special.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    small = special.count() * 48 <= BROADCAST_BYTES
     side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    plain = docs.join(side(special.select("doc_id")), "doc_id", "left_anti")
-    repeated = docs.join(side(special.filter("_keep").select("doc_id")), "doc_id", "left_semi")
-    others = [c for c in docs.columns if c != "doc_id"]
-    first = repeated.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in others if c != "text"])).alias("_row"))
-    first = first.select("doc_id", *(F.col(f"_row.`{c}`").alias(c) for c in others))
-    return plain.select(*docs.columns).unionByName(first.select(*docs.columns))
+    gone, rivals = side(special.select("_id", "_key")), side(special.filter("stays").select("_id", "_key", "component", "nameless"))
+    plain = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti")
+    rows = docs.select(F.struct("text", *[c for c in docs.columns if c != "text"]).alias("_row"))
+    rows = rows.join(rivals, rows["_row.doc_id"].eqNullSafe(rivals["_id"]) & (F.xxhash64(rows["_row.text"]) == rivals["_key"]))
+    first = rows.groupBy("component", "nameless").agg(F.min("_row").alias("_row")).select("_row.*")
+    return plain.unionByName(first.select(*docs.columns))

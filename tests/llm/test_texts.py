@@ -233,6 +233,22 @@ def test_one_of_each(odd, none):
     assert jaccard_join.one_of_each(none).count() == 0
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_one_of_each_decides_by_row(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", 32_000_000 if small else 0)
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [
+        (1, a, 1), (1, b, 2), (2, a, 3), (3, b, 4),  # two unrelated texts of one id, each with a copy
+        (5, c, 5), (4, c, 6), (5, d, 7),  # the id's smaller text goes with document 4, its larger one is the only one
+        (6, e, 8), (6, e + " tail", 9), (6, e, 8),  # linked texts and a repeated row of one id
+        (None, "n " + d[::-1], 10), (None, "n " + d[::-1], 10),  # copies with null ids only
+        (7, None, 11), (7, None, 11), (7, " ", 12),  # no n-grams
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component int")
+    kept = jaccard_join.one_of_each(docs, jaccard_join.Rule(5, 80)).collect()
+    assert Counter(map(tuple, kept)) == Counter([rows[i] for i in (0, 1, 5, 6, 7, 10, 12, 13, 14)])
+
+
 def test_graph_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7), (None, 3)] + [(200, 201 + i) for i in range(50)]
     for task_edges in (500_000, 7):
