@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from personaloom.llm.batches import bounded
+from personaloom.llm.columns import covered, uncovered
 from personaloom.llm.storage import row_bytes
 from personaloom.llm.wordhash import ALNUM, LOWER, Words, text_bytes, words, words_of
 
@@ -152,12 +153,12 @@ def contaminated():
 
 def without_documents(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     """`docs` without its contaminated rows; the others keep all columns and whole texts."""
-    return scan(docs, benchmark, size).filter(~contaminated()).select(*docs.columns)
+    return uncovered(scan(covered(docs), benchmark, size).filter(~contaminated()), docs)
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     """`docs` with the hit passages cut out of `text`, from the first hit word to the last one's end."""
-    found = scan(docs, benchmark, size)
+    found = scan(covered(docs), benchmark, size)
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
@@ -178,7 +179,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
-    return found.mapInArrow(remove, schema).select(*docs.columns)
+    return uncovered(found.mapInArrow(remove, schema), docs)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from personaloom.llm.batches import bounded
+from personaloom.llm.columns import covered, uncovered
 from personaloom.llm.wordhash import text_bytes
 
 #: Bounds of the sample that is learnt from: labelled documents per class, and characters of each.
@@ -139,4 +140,4 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def good_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """`docs` without the rows that the classifier rejects."""
-    return scored(docs, model).filter("predicted = 1").select(*docs.columns)
+    return uncovered(scored(covered(docs), model).filter("predicted = 1"), docs)

@@ -302,3 +302,18 @@ def test_quality(spark, sf_dir, odd, none):
     assert quality.scored(none, model).count() == 0 and quality.fit(docs, labels.limit(0)) is None
     assert {r.score for r in quality.scored(odd, None).collect()} == {0.5}
     assert quality.fit(docs, labels).weights == model.weights
+
+
+def test_stages_keep_the_values_of_clashing_columns(odd, items):
+    names = [c for c in odd.columns if c != "text"]
+    docs = odd.withColumns({c: F.lit(c) for c in ("hit_spans", "hit_items", "score", "predicted", "n_words")})
+    every = Counter(map(tuple, docs.select(*names, "hit_spans", "hit_items").collect()))
+    model = quality.Model(b"plain words " * 40, b"other words " * 40, [0.0, 0.0, 1.0])
+    stages = {
+        "good": [quality.good_documents(docs, m) for m in (None, model)],
+        "clean": [decontaminate.without_documents(docs, items[1]), decontaminate.without_spans(docs, items[1])],
+    }
+    for name, frames in stages.items():
+        for kept in frames:
+            assert kept.dtypes == docs.dtypes, name
+            assert Counter(map(tuple, kept.select(*names, "hit_spans", "hit_items").collect())) <= every, name
