@@ -100,10 +100,84 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) LEFT JOIN sizes USING (doc_id)
 """
 
+_CRC = """
+list_reduce(list_transform(string_split({}, ''), lambda ch: ascii(ch)::BIGINT), lambda c, b:
+  list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)),
+  4294967295)"""
+
+
+def _way(cost, edit: str, line: str, state: int, vector: str) -> str:
+    """A struct of cost, edits and repaired lines: one edit before those of a state's."""
+    after = f"{vector}[{state + 1}]"
+    return f"{{'c': {cost} + {after}.c, 'a': '{edit}' || {after}.a, 'o': {line} || {after}.o}}"
+
+
+def _repair() -> str:
+    """The dynamic programme from the last row back; states: start, after a system turn, user's turn open, answered."""
+    wanted, role = (2, 2, 3, 2), ("user", "user", "assistant", "user")
+    kept = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    none = "{'c': 1000000000000, 'a': '', 'o': ''}"
+    extra = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    rows, inserted = [], []
+    for s in range(4):
+        ways = [_way("2", "D", "''", s, "v")]
+        ways.append(f"CASE WHEN stays THEN {_way(f'1 + {extra}', 'R', f"chr(10) || '{role[s]}:' || text", wanted[s], 'v')} ELSE {none} END")
+        for (state, initial), to in kept.items():
+            if state == s:
+                keep = _way(extra, "K", "chr(10) || role || ':' || text", to, "v")
+                ways.append(f"CASE WHEN stays AND initial = '{initial}' THEN {keep} ELSE {none} END")
+        rows.append(f"list_min([{', '.join(ways)}])")
+        ways, at, line, edit = [f"w[{s + 1}]"], s, "''", ""
+        for k in range(1, 4):
+            line, edit, at = f"{line} || chr(10) || '{role[at]}:'", edit + "I", wanted[at]
+            ways.append(_way(5 * k, edit, line, at, "w"))
+        inserted.append(f"list_min([{', '.join(ways)}])")
+    end = "[{'c': 0::BIGINT, 'a': '', 'o': ''}, {'c': 10::BIGINT, 'a': 'II', 'o': chr(10) || 'user:' || chr(10) || 'assistant:'}, "
+    end += "{'c': 5::BIGINT, 'a': 'I', 'o': chr(10) || 'assistant:'}, {'c': 0::BIGINT, 'a': '', 'o': ''}]"
+    return rf"""
+WITH RECURSIVE known AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor({_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")}, 4294967295) % 20 AS kind
+  FROM conversations),
+turns AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) FROM known WHERE kind <> 0)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial,
+         trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said
+  FROM turns),
+rows AS (
+  SELECT *, CASE WHEN said = '' THEN 'blank' WHEN min(i) OVER (PARTITION BY conv_id, role, text) < i THEN 'duplicate'
+                 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal
+  FROM numbered),
+dp AS (
+  SELECT conv_id, max(i) AS i, {end} AS v FROM rows GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, [{", ".join(inserted)}] AS v
+  FROM (SELECT conv_id, i, [{", ".join(rows)}] AS w
+        FROM (SELECT dp.conv_id, dp.i - 1 AS i, dp.v, role, text, initial, fault, fault NOT IN ('blank', 'duplicate') AS stays
+              FROM dp JOIN rows ON dp.conv_id IS NOT DISTINCT FROM rows.conv_id AND dp.i = rows.i))),
+best AS (SELECT conv_id, v[1] AS b FROM dp WHERE i = 0),
+sums AS (
+  SELECT conv_id, CASE WHEN count(turn) > 0 THEN max(turn) - min(turn) + 1 - count(DISTINCT turn) ELSE 0 END AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM rows GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost,
+       coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN sums ON c.conv_id IS NOT DISTINCT FROM sums.conv_id LEFT JOIN best ON c.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": _CHAT,
     "op3_topk_search": _TOPK,
     "op4_decontamination": _CONTAMINATION,
     "op6_mixing": _MIX,
     "op8_jaccard_join": _COMPONENTS,
+    "op13_conversation_repair": _repair(),
 }

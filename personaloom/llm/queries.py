@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from personaloom.llm import chat_format, decontaminate, edit_counts, jaccard_join, license_scan, mixing, quality, sharding, token_store, topk_search
+from personaloom.llm import chat_format, conversation_repair, decontaminate, edit_counts, jaccard_join, license_scan, mixing, quality, sharding, token_store, topk_search
 from personaloom.llm.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,12 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.scan(table(spark, sf, "documents")).drop("spans")
 
 
+@query
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    conversations = table(spark, sf, "conversations")
+    return conversation_repair.report(conversations, conversation_repair.damaged(conversations))
+
+
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
