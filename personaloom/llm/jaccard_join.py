@@ -33,7 +33,7 @@ _LEVEL = 60  # the bits of an n-gram's place in the order below its frequency le
 _FRAGMENTS = 8
 #: Rounds of comparing neighbours before all sets that still lie apart are compared.
 CHAINS = 3
-_PARITY = 8  # longs of a set's parity bits
+PARITY = 8  # longs of a set's parity bits
 BROADCAST_BYTES = 32_000_000
 
 
@@ -69,7 +69,7 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[new]
 
 
-def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
+def shingle_sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
     """The distinct n-grams of each row; fewer words are one n-gram."""
     text = words_of(batch.column("text"), NON_SPACE)
     counts = text.count()
@@ -134,12 +134,12 @@ def parity(places: np.ndarray) -> np.ndarray:
 
     Two sets' bits differ in at most as many places as the sets have n-grams apart.
     """
-    each = np.bincount((mixed(places) >> np.uint64(55)).astype(np.int64), minlength=64 * _PARITY) & 1
+    each = np.bincount((mixed(places) >> np.uint64(55)).astype(np.int64), minlength=64 * PARITY) & 1
     return np.packbits(each.astype(np.uint8)).view(np.int64)
 
 
 def bits_apart(a: str, b: str) -> Column:
-    return sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(_PARITY))
+    return sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITY))
 
 
 def profiles(docs: DataFrame, rule: Rule, levels) -> DataFrame:
@@ -150,7 +150,7 @@ def profiles(docs: DataFrame, rule: Rule, levels) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
             n, node, prefix, bits = [], [], [], []
-            for found in _sets(batch, rule.n):
+            for found in shingle_sets(batch, rule.n):
                 places = ordered(found, levels.value)
                 n.append(len(places))
                 node.append(set_id(places) if len(places) else None)
@@ -162,7 +162,7 @@ def profiles(docs: DataFrame, rule: Rule, levels) -> DataFrame:
                     pa.array(n, pa.int64()),
                     pa.array(node, pa.int64()),
                     list_column(np.concatenate(prefix).view(np.int64), np.array([len(p) for p in prefix]), pa.int64()),
-                    list_column(np.concatenate(bits), np.full(len(bits), _PARITY), pa.int64()),
+                    list_column(np.concatenate(bits), np.full(len(bits), PARITY), pa.int64()),
                 ],
                 [*names, "n", "node", "prefix", "bits"],
             )
@@ -177,7 +177,7 @@ def segments(docs: DataFrame, rule: Rule, levels, wanted: DataFrame) -> DataFram
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
             node, counts, values = [], [], []
-            for wanted_node, found in zip(batch.column("node").to_pylist(), _sets(batch, rule.n), strict=True):
+            for wanted_node, found in zip(batch.column("node").to_pylist(), shingle_sets(batch, rule.n), strict=True):
                 places = ordered(found, levels.value)
                 if not len(places) or set_id(places) != wanted_node:  # another text under the same id
                     continue

@@ -85,21 +85,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-_COMPONENTS = f"""
+def _components(n: int, percent: int, more: str = "") -> str:
+    """Components of links between sets of n-word shingles."""
+    return f"""
 WITH RECURSIVE docs AS (SELECT doc_id, coalesce({_SOLID}, []) AS w FROM documents),
 grams AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS gram
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM docs WHERE len(w) > 0)),
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + {n - 1}], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {n - 1}) + 1)) AS i FROM docs WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
 shared AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (
-  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= {percent} * (a.n + b.n - k)),
 reach AS (SELECT doc_id, doc_id AS r FROM docs UNION SELECT reach.doc_id, y FROM reach JOIN links ON r = x)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id{more}
 FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) LEFT JOIN sizes USING (doc_id)
 """
 
+
 _CRC = """
 list_reduce(list_transform(string_split({}, ''), lambda ch: ascii(ch)::BIGINT), lambda c, b:
   list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)),
@@ -178,6 +181,7 @@ ORACLES: dict[str, str] = {
     "op3_topk_search": _TOPK,
     "op4_decontamination": _CONTAMINATION,
     "op6_mixing": _MIX,
-    "op8_jaccard_join": _COMPONENTS,
+    "op8_jaccard_join": _components(3, 90),
+    "op12_minhash_dedup": _components(5, 85, ", doc_id = component_id AS kept"),
     "op13_conversation_repair": _repair(),
 }
