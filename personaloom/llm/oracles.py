@@ -103,6 +103,24 @@ FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) LEFT JOIN siz
 """
 
 
+_RANKED = f"""
+WITH docs AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+sums AS (SELECT count(*) FILTER (len(w) > 0) AS docs_n, sum(len(w))::BIGINT AS terms_n FROM docs),
+places AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM docs),
+postings AS (SELECT doc_id, n, term, count(*) AS tf FROM places GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+  FROM postings, sums GROUP BY term, docs_n),
+items AS (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark),
+wanted AS (SELECT item_id, term, count(*) AS times FROM items GROUP BY ALL),
+scores AS (
+  SELECT item_id, doc_id,
+         sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs_n) // terms_n))))::BIGINT AS score
+  FROM wanted JOIN weights USING (term) JOIN postings USING (term), sums GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 _CRC = """
 list_reduce(list_transform(string_split({}, ''), lambda ch: ascii(ch)::BIGINT), lambda c, b:
   list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)),
@@ -182,6 +200,7 @@ ORACLES: dict[str, str] = {
     "op4_decontamination": _CONTAMINATION,
     "op6_mixing": _MIX,
     "op8_jaccard_join": _components(3, 90),
+    "op11_lexical_search": _RANKED,
     "op12_minhash_dedup": _components(5, 85, ", doc_id = component_id AS kept"),
     "op13_conversation_repair": _repair(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from personaloom.llm import chat_format, conversation_repair, decontaminate, edit_counts, jaccard_join, license_scan, minhash_dedup, mixing, quality, sharding, token_store, topk_search
+from personaloom.llm import chat_format, conversation_repair, decontaminate, edit_counts, jaccard_join, lexical_search, license_scan, minhash_dedup, mixing, quality, sharding, token_store, topk_search
 from personaloom.llm.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,11 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.scan(table(spark, sf, "documents")).drop("spans")
 
 
+@query
+def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
+
+
 @query
 def op12_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf, "documents"), jaccard_join.Rule(n=5, percent=85))
