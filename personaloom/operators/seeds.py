@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from personaloom.functions.rows import compute_where
 from personaloom.functions.text import json_cell, strip_blanks
-from personaloom.plans.lineage import cut
 
 # Names the selection looks for, all compared in lower case.
 PERSON_INFOBOX = "infobox person"
@@ -37,118 +35,131 @@ def birth_origin(infoboxes: Column) -> Column:
 _PARTS = "array<struct<name:string,value:string>>"
 
 
-# Levels of sections that the plain form walks; deeper records get a form of their own.
-DEPTH = 8
+# JSON read as tokens: a string (with the colon behind it, if it is a key), a bracket, or a number or word.
+_TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?|[\[\]{}]|[^\s\[\]{}:,"]++'
+_FOUND = "array<struct<target:int,value:string>>"
+_NODE = f"struct<name:string,kind:string,value:string,own:array<string>,found:{_FOUND}>"
+# skip: open brackets that lead nowhere; listed: the place is in a list of parts, not among a part's members
+_PLACE = f"struct<skip:int,listed:boolean,key:string,nodes:array<{_NODE}>,found:{_FOUND}>"
 
 
-def section_depth(sections: Column) -> Column:
-    """How many levels of lists a JSON text nests, at least 1."""
-    bare = F.regexp_replace(F.replace(F.replace(sections, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit("")), '"[^"]*"', "")
-    signs = F.split(F.regexp_replace(bare, r"[^\[\]]", ""), "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(1).alias("most"))
+def _changed(state: Column, **fields) -> Column:
+    names = ("skip", "listed", "key", "nodes", "found")
+    return F.struct(*[fields.get(n, state[n]).alias(n) for n in names])
 
-    def step(s, sign):
-        now = s["now"] + F.when(sign == "[", 1).when(sign == "]", -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
 
-    return F.coalesce(F.aggregate(signs, start, step, lambda s: s["most"]), F.lit(1))
+def _scalar(token: Column) -> Column:
+    """The text of a JSON string, number or boolean; null stays null."""
+    return F.try_variant_get(F.try_parse_json(token), "$", "string")
 
 
-def _member(node: Column, name: str, kind: str = "string") -> Column:
-    return F.try_variant_get(node, f"$.{name}", kind)
+def _closed(state: Column, targets: list[str]) -> Column:
+    """The state behind a part's end: what it holds goes to the part around it."""
+    nodes = state["nodes"]
+    node, outer = F.try_element_at(nodes, F.lit(-1)), F.try_element_at(nodes, F.lit(-2))
+    name = F.lower(strip_blanks(node["name"]))
 
+    def for_target(i: int, target: str) -> Column:
+        texts = F.transform(node["own"], lambda v: F.struct(F.lit(i).alias("target"), v.alias("value")))
+        return F.when(F.contains(name, F.lit(target.lower())), texts)
 
-def _paragraphs(node: Column) -> Column:
-    parts = F.coalesce(_member(node, "has_parts", "array<variant>"), F.array().cast("array<variant>"))
-    return F.array_compact(F.transform(parts, lambda p: F.when(_member(p, "type") == "paragraph", _member(p, "value"))))
-
-
-def _named(node: Column, target: str) -> Column:
-    hit = F.contains(F.lower(strip_blanks(_member(node, "name"))), F.lit(target.lower()))
-    return F.coalesce(hit, F.lit(False))
-
-
-def _top(sections: Column) -> Column:
-    return F.try_variant_get(F.try_parse_json(sections), "$", "array<variant>")
-
-
-def section_text(sections: Column, target: str, depth: int = DEPTH) -> Column:
-    """Text of all sections whose name contains `target`, in document order, down to `depth` levels.
-
-    `sections` is JSON text. A matching section gives its own direct
-    paragraphs, then its sub-sections are searched as well. Parts of any other
-    shape hold nothing and hide nothing; text that is no JSON list gives ''.
-    `by_depth` covers records of any depth.
-    """
-    nothing = F.array().cast("array<string>")
+    own = [for_target(i, t) for i, t in enumerate(targets)]
+    nothing = F.array().cast(_FOUND)
+    found = F.concat(*[F.coalesce(o, nothing) for o in own], node["found"])
+    paragraph = (node["kind"] == "paragraph") & node["value"].isNotNull() & (node["value"] != "null")
+    around = F.struct(
+        outer["name"].alias("name"),
+        outer["kind"].alias("kind"),
+        outer["value"].alias("value"),
+        F.when(paragraph, F.concat(outer["own"], F.array(node["value"]))).otherwise(outer["own"]).alias("own"),
+        F.concat(outer["found"], found).alias("found"),
+    )
+    at_root = F.size(nodes) == 1
+    rest = F.concat(F.slice(nodes, F.lit(1), F.greatest(F.size(nodes) - 2, F.lit(0))), F.array(around))
+    return _changed(
+        state,
+        listed=F.lit(True),
+        nodes=F.when(at_root, F.array().cast(f"array<{_NODE}>")).otherwise(rest),
+        found=F.when(at_root, F.concat(state["found"], found)).otherwise(state["found"]),
+    )
 
-    def gather(nodes: Column, level: int) -> Column:
-        def from_node(node):
-            below = _member(node, "has_parts", "array<variant>")
-            return F.concat(
-                F.when(_named(node, target), _paragraphs(node)).otherwise(nothing),
-                F.coalesce(gather(below, level + 1), nothing) if level < depth else nothing,
-            )
 
-        return F.flatten(F.transform(nodes, from_node))
+def _with_member(state: Column, token: Column) -> Column:
+    """The state behind a member's plain value; only name, type and value are kept, the value as it is written."""
+    nodes, key = state["nodes"], state["key"]
+    node = F.try_element_at(nodes, F.lit(-1))
+    changed = F.struct(
+        F.when(key == "name", _scalar(token)).otherwise(node["name"]).alias("name"),
+        F.when(key == "type", _scalar(token)).otherwise(node["kind"]).alias("kind"),
+        F.when(key == "value", token).otherwise(node["value"]).alias("value"),
+        node["own"].alias("own"),
+        node["found"].alias("found"),
+    )
+    kept = F.concat(F.slice(nodes, F.lit(1), F.size(nodes) - 1), F.array(changed))
+    return F.when(key.isin("name", "type", "value"), _changed(state, nodes=kept)).otherwise(state)
 
-    return F.coalesce(strip_blanks(F.array_join(gather(_top(sections), 1), "\n")), F.lit(""))
 
+def section_texts(sections: Column, targets: dict[str, str]) -> Column:
+    """A struct of texts by name: for each target those of all sections whose name contains it, in document order.
 
-def _walk(records: DataFrame, sections: str, targets: list[str]) -> DataFrame:
-    """Adds `_found`: (path, target's place, text) of all matching sections, one level of every record at a time.
+    `sections` is JSON text, nested to any depth. A matching section gives its own direct paragraphs, then its
+    sub-sections are searched as well; one without paragraphs gives nothing. Parts of any other shape hold
+    nothing and hide nothing; text that is no JSON list, and null, give ''.
 
-    Each level is stored, so the plan does not grow with the depth.
+    One fold over the tokens finds all targets. Its state is a stack with a node for each part that is open, so
+    it is as deep as the record and no deeper; a part's name is compared where the part ends, as members come in any
+    order. Texts that hold no target in any spelling are not read.
     """
-    entry = "struct<path:array<int>,target:int,text:string>"
-    kept = records.columns
-    start = F.transform(_top(F.col(sections)), lambda n, i: F.struct(F.array(i).alias("path"), n.alias("node")))
-    state = cut(records.withColumns({"_front": start, "_found": F.array().cast(f"array<{entry}>")}))
-    while not state.filter(F.size("_front") > 0).isEmpty():
-
-        def texts(x):
-            return [
-                F.when(
-                    _named(x["node"], t),
-                    F.struct(x["path"].alias("path"), F.lit(i).alias("target"), F.array_join(_paragraphs(x["node"]), "\n").alias("text")),
-                )
-                for i, t in enumerate(targets)
-            ]
-
-        def below(x):
-            parts = F.coalesce(_member(x["node"], "has_parts", "array<variant>"), F.array().cast("array<variant>"))
-            return F.transform(parts, lambda n, i: F.struct(F.concat(x["path"], F.array(i)).alias("path"), n.alias("node")))
-
-        found = F.array_compact(F.flatten(F.transform("_front", lambda x: F.array(*texts(x)))))
-        state = cut(
-            state.select(
-                *kept,
-                F.concat("_found", F.coalesce(found, F.array().cast(f"array<{entry}>"))).alias("_found"),
-                F.flatten(F.transform("_front", below)).alias("_front"),
-            )
+    wanted = list(targets.values())
+    node = F.struct(*[F.lit(None).alias(n) for n in ("name", "kind", "value")], F.array().alias("own"), F.array().alias("found"))
+    start = F.struct(F.lit(0), F.lit(False), F.lit(None), F.array(), F.array()).cast(_PLACE)
+
+    def step(state, token):
+        opens, closes = token.isin("[", "{"), token.isin("]", "}")
+        deeper = F.when(opens, 1).when(closes, -1).otherwise(0)
+        begun = F.concat(state["nodes"], F.array(node.cast(_NODE)))
+        is_key = F.startswith(token, F.lit('"')) & F.endswith(token, F.lit(":"))
+        in_list = (
+            F.when(token == "{", _changed(state, listed=F.lit(False), key=F.lit(None).cast("string"), nodes=begun))
+            .when(token == "[", _changed(state, skip=F.lit(1)))
+            .when(token == "]", _changed(state, listed=F.lit(False)))
+            .otherwise(state)
         )
-    return state.drop("_front")
+        in_part = (
+            F.when(is_key, _changed(state, key=_scalar(F.rtrim(F.rtrim(token, F.lit(":"))))))
+            .when((token == "[") & (state["key"] == "has_parts"), _changed(state, listed=F.lit(True)))
+            .when(opens, _changed(state, skip=F.lit(1)))
+            .when(token == "}", _closed(state, wanted))
+            .otherwise(_with_member(state, token))
+        )
+        at_root = F.when(token == "[", _changed(state, listed=F.lit(True))).otherwise(state)
+        moved = F.when(state["listed"], in_list).when(F.size(state["nodes"]) == 0, at_root).otherwise(in_part)
+        # the cast drops what the branches say about nulls, which differs
+        return F.when(state["skip"] > 0, _changed(state, skip=state["skip"] + deeper)).otherwise(moved).cast(_PLACE)
 
+    def texts(state):
+        def text(i):
+            mine = F.transform(F.filter(state["found"], lambda f: f["target"] == i), lambda f: _scalar(f["value"]))
+            return strip_blanks(F.array_join(mine, "\n"))
 
-def by_depth(records: DataFrame, sections: str, targets: dict[str, str], make) -> DataFrame:
-    """`make(records, texts)` over records of any depth; `texts` are the columns of the wanted section texts by name.
+        return F.struct(*[text(i).alias(n) for i, n in enumerate(targets)])
 
-    Records of up to DEPTH levels get theirs inside the row. One aggregate
-    tells whether there are deeper ones; these few are walked level by level.
-    """
-    shallow = {name: section_text(F.col(sections), t) for name, t in targets.items()}
-    depth = section_depth(F.col(sections))
-    if (records.agg(F.max(depth).alias("d")).first()["d"] or 1) <= DEPTH:
-        return make(records, shallow)
-    own = records.withColumn("_depth", depth)
-    deep = _walk(own.filter(F.col("_depth") > DEPTH).drop("_depth"), sections, list(targets.values()))
+    is_list = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(sections)), F.lit("ARRAY")), F.lit(False))
+    read = is_list
+    if all(t.isascii() and t.replace(" ", "").isalnum() for t in wanted):  # no other spelling but by \u
+        low = F.lower(sections)
+        spelt = [F.contains(low, F.lit(t.lower())) for t in wanted]
+        read = F.coalesce(F.contains(sections, F.lit("\\u")), F.lit(False))
+        for one in spelt:
+            read = read | F.coalesce(one, F.lit(False))
+        read = read & is_list
+    tokens = F.when(read, F.regexp_extract_all(sections, F.lit(_TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.aggregate(tokens, start, step, texts)
 
-    def joined(i: int) -> Column:
-        mine = F.filter("_found", lambda f: (f["target"] == i) & (f["text"] != ""))
-        return strip_blanks(F.array_join(F.transform(F.array_sort(mine), lambda f: f["text"]), "\n"))
 
-    walked = make(deep, {name: joined(i) for i, name in enumerate(targets)})
-    return make(own.filter(F.coalesce(F.col("_depth"), F.lit(1)) <= DEPTH).drop("_depth"), shallow).unionByName(walked)
+def section_text(sections: Column, target: str) -> Column:
+    """Text of all sections whose name contains `target`; see `section_texts`."""
+    return section_texts(sections, {"text": target})["text"]
 
 
 def select_seed_people(
@@ -160,22 +171,17 @@ def select_seed_people(
     """People with a name, a person infobox and a personal- or early-life text.
 
     `sections` holds JSON text of any depth. The cheap tests run before it is
-    parsed. Adds the columns personal_life and early_life; `keep` names columns
-    to carry. Runs one job that measures the depth.
+    read. Adds the columns personal_life and early_life; `keep` names columns
+    to carry. Row-local: no job runs ahead, nothing is stored or shuffled.
     """
     people = records.filter(
         has_person_infobox(F.col(infoboxes)) & (F.coalesce(F.col("name"), F.lit("")) != "")
     )
-
-    def select(part: DataFrame, texts: dict[str, Column]) -> DataFrame:
-        return compute_where(
-            part,
-            [*keep, "name", "url", "abstract", F.col(sections).alias("wikipedia_content")],
-            texts,
-            lambda x: (x["personal_life"] != "") | (x["early_life"] != ""),
-        )
-
-    return by_depth(people, sections, {"personal_life": PERSONAL_SECTION, "early_life": EARLY_SECTION}, select)
+    texts = section_texts(F.col(sections), {"personal_life": PERSONAL_SECTION, "early_life": EARLY_SECTION})
+    wanted = F.filter(F.array(texts), lambda x: (x["personal_life"] != "") | (x["early_life"] != ""))
+    return people.select(
+        *keep, "name", "url", "abstract", F.col(sections).alias("wikipedia_content"), F.inline(wanted)
+    )
 
 
 def seed_cells(seeds: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

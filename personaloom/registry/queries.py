@@ -190,18 +190,13 @@ def w2_named_records(spark, sf):
 
 @query
 def w3_section_text(spark, sf):
-    return X.wiki_records(spark, sf).select(
-        "doc_id",
-        seeds.section_text(F.col("sections"), "Personal life").alias("personal_life"),
-        seeds.section_text(F.col("sections"), "Early life").alias("early_life"),
-    )
+    texts = seeds.section_texts(F.col("sections"), {"personal_life": "Personal life", "early_life": "Early life"})
+    return X.wiki_records(spark, sf).select("doc_id", texts.alias("texts")).select("doc_id", "texts.*")
 
 
 @query
 def w3_deep_sections(spark, sf):
-    records = X.deep_records(spark, sf)
-    wanted = {"personal_life": "personal life"}
-    return seeds.by_depth(records, "sections", wanted, lambda part, made: part.select("doc_id", made["personal_life"].alias("personal_life")))
+    return X.deep_records(spark, sf).select("doc_id", seeds.section_text(F.col("sections"), "personal life").alias("personal_life"))
 
 
 @query

@@ -1,6 +1,7 @@
 """Hand-written edge rows per operator."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,9 +161,9 @@ def par(value):
     return {"type": "paragraph", "value": value}
 
 
-def sections_text(spark, text, target, depth=8):
+def sections_text(spark, text, target):
     df = spark.createDataFrame([(text,)], "v string")
-    return df.select(seeds.section_text(F.col("v"), target, depth)).first()[0]
+    return df.select(seeds.section_text(F.col("v"), target)).first()[0]
 
 
 def test_sections(spark):
@@ -185,13 +186,63 @@ def test_sections_of_any_depth(spark):
 
     rows = [(n, nested(n)) for n in (0, 3, 7, 8, 15, 16, 40)] + [(-1, None), (-2, "no json"), (-3, '"[[["')]
     df = spark.createDataFrame(rows, "n int, v string")
-    depths = {r.n: r.d for r in df.select("n", seeds.section_depth(F.col("v")).alias("d")).collect()}
-    # the wanted section's own list and the lists around it
-    assert all(depths[n] == n + 2 for n, _ in rows if n >= 0) and depths[-3] == 1
-    found = seeds.by_depth(df, "v", {"t": "personal life"}, lambda part, made: part.select("n", made["t"].alias("t")))
+    found = df.select("n", seeds.section_text(F.col("v"), "personal life").alias("t"))
     assert {r.n: r.t for r in found.collect()} == {n: f"x{n}" if n >= 0 else "" for n, _ in rows}
 
 
+def walked(node, target):
+    """The wanted texts by plain recursion over parsed JSON."""
+    out = []
+    for part in node if isinstance(node, list) else []:
+        if isinstance(part, dict):
+            below = part.get("has_parts")
+            if isinstance(part.get("name"), str) and target in part["name"].strip().lower() and isinstance(below, list):
+                own = [p.get("value") for p in below if isinstance(p, dict) and p.get("type") == "paragraph"]
+                out += [v for v in own if isinstance(v, str)]
+            out += walked(below, target)
+    return out
+
+
+def test_sections_equal_recursion(spark):
+    """Random trees of 1 to 30 levels with members in any order, odd parts, and names and texts that need escapes."""
+    pick = random.Random(11)
+    names = ["Personal life", " personal LIFE ii", "Early life", "Career", "p\u00e9rsonal life", 'a "]}" \\', "life", None, 7, ""]
+    values = ["text", 'quote " and \\ and ] } [ {', "tab\t\nline", "", " blank ", "日本語 \u2028", None, "personal life", '\\"']
+
+    def part(level):
+        kind = pick.random()
+        if kind < 0.35:
+            made = {"type": pick.choice(["paragraph", "paragraph", "list"]), "value": pick.choice(values)}
+        elif kind < 0.5:
+            return pick.choice(["odd [[", 7, 1.5, True, None, ["x", [{"name": "Personal life", "has_parts": [{"type": "paragraph", "value": "no"}]}]]])
+        else:
+            made = {"type": "section", "name": pick.choice(names), "has_parts": parts(level - 1)}
+            if pick.random() < 0.2:
+                made["meta"] = {"name": "Early life", "has_parts": [{"type": "paragraph", "value": "hidden"}]}
+            if pick.random() < 0.1:
+                made["has_parts"] = pick.choice([None, "no list", {"a": []}])
+        items = list(made.items())
+        pick.shuffle(items)
+        return dict(items)
+
+    def parts(level):
+        return [part(level) for _ in range(pick.randrange(1, 4))] if level > 0 else []
+
+    trees = [parts(levels) for levels in [*range(1, 9)] * 8]
+    for levels in (12, 20, 30):
+        node = parts(3)
+        for _ in range(levels):
+            node = [{"has_parts": node, "name": pick.choice(names), "type": "section"}]
+        trees.append(node)
+    rows = [(i, json.dumps(t, ensure_ascii=i % 2 == 0, indent=None if i % 3 else 1)) for i, t in enumerate(trees)]
+    df = spark.createDataFrame(rows, "n int, v string")
+    wanted = {"personal": "Personal life", "early": "early LIFE", "any": "life", "odd": '"]}" \\'}
+    texts = seeds.section_texts(F.col("v"), wanted)
+    got = {r["n"]: [r[k] for k in wanted] for r in df.select("n", texts.alias("t")).select("n", "t.*").collect()}
+    for n, tree_ in enumerate(trees):
+        assert got[n] == ["\n".join(walked(tree_, t.lower())).strip() for t in wanted.values()]
+
+
 def test_age_bands_fold_when_all_are_young(spark):
     def bands(oldest):
         df = spark.createDataFrame([(a, oldest) for a in (17, 18, 30, 59, 74, 75, 90) if a <= oldest], "a int, m int")
