@@ -45,7 +45,7 @@ class Items:
         for terms in self.terms:
             for t in terms.tolist():
                 out[t].append(terms)
-        return [np.unique(np.concatenate(x)) for x in out]
+        return [np.unique(np.concatenate(x)) if x else np.empty(0, np.int64) for x in out]
 
 
 def items_of(rows: pa.Table) -> Items:
