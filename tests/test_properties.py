@@ -1,11 +1,14 @@
 """Joins against brute force, sampling and profile rules, independence of partitioning."""
 
+import random
+import time
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from personaloom.operators import blocks, catalogue, contamination, pairing, profiles, prompts, relink, sampling
+from personaloom.plans.bits import might_hold
 from personaloom.registry import fixtures as X
 
 MASTER = [
@@ -76,6 +79,75 @@ def test_recovery_with_hot_phrases(spark, lookup_rows):
     assert got == want and want
 
 
+def shuffled(spark, run):
+    """Bytes that `run` writes to shuffles."""
+
+    def total():
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = total()
+    run()
+    for _ in range(50):  # the listener follows the jobs
+        time.sleep(0.1)
+        now = total()
+        if now == total() and now > before:
+            break
+    return now - before
+
+
+def lines(rows):
+    pick = random.Random(4)
+    return [" ".join(f"w{pick.randrange(3000)}x" for _ in range(60)) for _ in range(rows)]
+
+
+def test_short_texts_do_not_move_the_master(spark):
+    """One text of one word, whose keys are runs of characters, moves hardly more than texts of many words do."""
+    texts = lines(4000)
+    master = spark.createDataFrame([(str(i), t, i) for i, t in enumerate(texts)], "id string, text string, pos int").repartition(8)
+    needles = [" ".join(t.split()[10:20]) for t in texts[:40]]
+
+    def moved(more):
+        t = spark.createDataFrame([(x,) for x in needles + more], "text string")
+        return shuffled(spark, lambda: relink.recover_ids(t, master, lookup_rows=1000).collect())
+
+    plain = moved([])
+    assert moved(["2999x"]) < 1.5 * plain + 100_000
+
+
+def test_shuffles_stay_below_the_master(spark):
+    """Without any broadcast the join moves the rows that may match, not the master's word runs."""
+    texts = lines(6000)
+    size = sum(map(len, texts))
+    master = spark.createDataFrame([(str(i), t, i) for i, t in enumerate(texts)], "id string, text string, pos int").repartition(8)
+    base = shuffled(spark, lambda: master.write.format("noop").mode("overwrite").save())
+    t = spark.createDataFrame([(" ".join(x.split()[10:20]),) for x in texts[:300]], "text string")
+    got = []
+    moved = shuffled(spark, lambda: got.extend(relink.recover_ids(t, master, lookup_rows=0).collect()))
+    assert len(got) == 300
+    # the fixture's own repartition runs once for each scan of the master
+    assert moved - 5 * base < size
+
+
+@pytest.mark.parametrize("lookup_rows", [1_000_000, 0])
+def test_hot_keys_are_dealt_out(spark, lookup_rows):
+    """Needles whose only key thousands of master texts hold, in shares of a few hits."""
+    master = spark.createDataFrame([(str(i), f"say {i} the very same words here {i}", i) for i in range(500)], "id string, low string, pos int")
+    needles = spark.createDataFrame([("a", "the very same words here"), ("b", "the very same words here 4"), ("c", "nothing of this")], "sid string, low string")
+    found = relink._contained_in(needles, master, lookup_rows, hot_hits=7)
+    got = sorted((r["sid"], r["pos"]) for r in found.collect())
+    assert got == sorted([("a", i) for i in range(500)] + [("b", i) for i in range(500) if str(i).startswith("4")])
+
+
+def test_bitmap_loses_nothing(spark):
+    rows = spark.range(200_000).selectExpr("id", "xxhash64(id) key")
+    wanted = rows.filter("id % 100 = 7").select("key")
+    kept = might_hold(rows, "key", wanted)
+    assert kept.join(wanted, "key").count() == 2000
+    assert kept.count() < 2000 + 200_000 * 0.03
+    assert might_hold(rows, "key", wanted.filter("false")).count() == 0
+
+
 @pytest.mark.parametrize("lookup_rows", [1_000_000, 0])
 def test_exact_link(spark, lookup_rows):
     subset = spark.createDataFrame([("t1",), ("t1",), (None,), ("zz",)], "text string")
