@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from personaloom.llm.repeats import with_repeats
 from personaloom.llm.storage import stored
 
 #: Weights of the sources in order, repeating; how often a source may be used up.
@@ -19,10 +20,25 @@ def words() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
 
 
+def digest() -> Column:
+    """A digest of doc_id and text, the same in every run and engine."""
+    return F.md5(F.concat_ws(":", *(F.coalesce(c, F.lit("null")) for c in (F.col("doc_id").cast("string"), F.md5("text")))).cast("binary"))
+
+
+def key() -> Column:
+    """Equal for rows of one doc_id, text and source."""
+    return F.xxhash64(digest(), F.coalesce("source", F.lit("")), F.col("source").isNull())
+
+
 def place() -> Column:
-    """36 bits of a digest of doc_id, the same in every run and engine."""
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    return F.conv(F.substring(digest, 1, 9), 16, 10).cast("bigint")
+    """36 bits of a digest of a row's `digest` and `repeat`."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", "digest", "repeat").cast("binary")), 1, 9), 16, 10).cast("bigint")
+
+
+def _placed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, size and place of every row; copies of a row have places of their own."""
+    slim = stored(docs.select(*names, words().alias("size"), digest().alias("digest"), key().alias("key")))
+    return stored(with_repeats(slim, "key").select(*names, "size", place().alias("place")))
 
 
 def targets(sums: DataFrame) -> DataFrame:
@@ -86,11 +102,12 @@ def budgets(rows: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target and copies (times the document is used, 0 to MOST) of every row.
 
-    Sources count by code point, null last. All rows of one doc_id and source are used equally often, those of
-    null ids too; each source's used words miss its target by less than the documents of one place. Texts
-    without words have size 0. An empty table gives an empty one. Other columns are left out.
+    Sources count by code point, null last. A row's place follows from its doc_id, its text and its number among
+    rows equal in both and in source, so a target cuts between copies and between rows without ids as it does
+    between others: each source's used words miss its target by less than one document. Reruns use as many of
+    equal rows. Texts without words have size 0. An empty table gives an empty one. Other columns are left out.
     """
-    rows = stored(docs.select("doc_id", "source", words().alias("size"), place().alias("place")))
+    rows = _placed(docs, "doc_id", "source")
     return _copies(rows, rows).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
@@ -99,12 +116,18 @@ def _copies(docs: DataFrame, rows: DataFrame) -> DataFrame:
     small = found.count() <= SOURCES_BROADCAST
     found = found.withColumnRenamed("source", "_source")
     both = docs.join(F.broadcast(found) if small else found, F.col("source").eqNullSafe(F.col("_source")))
-    return both.withColumn("copies", F.col("passes") + (F.col("place") < F.col("cut")).cast("bigint"))
+    # texts without words fit any rest, also that of a source which is used up
+    copies = F.col("passes") + (F.col("place") < F.col("cut")).cast("bigint")
+    return both.withColumn("copies", F.least(copies, F.lit(MOST).cast("bigint")))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: every row of `docs` as often as the mix uses it, with all its columns."""
-    rows = stored(docs.select("source", words().alias("size"), place().alias("place")))
-    named = docs.select(F.struct(*docs.columns).alias("_row"), "source", place().alias("place"))
+    """The mix itself: every row of `docs` as often as the mix uses it, with all its columns.
+
+    Rows equal in doc_id, text and source are told apart by a digest of their other columns.
+    """
+    rows = _placed(docs, "source")
+    named = docs.select(F.struct(*docs.columns).alias("_row"), "source", digest().alias("digest"), key().alias("key"))
+    named = with_repeats(named, "key", F.xxhash64(F.to_json("_row"))).withColumn("place", place())
     used = _copies(named, rows).filter("copies > 0")
     return used.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

@@ -6,7 +6,8 @@ _MIX = r"""
 WITH docs AS (
   SELECT doc_id, source,
          CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 9))::BIGINT AS place
+         ('0x' || substr(md5(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')) || ':' ||
+           (row_number() OVER (PARTITION BY doc_id, text, source) - 1)), 1, 9))::BIGINT AS place
   FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 ranked AS (

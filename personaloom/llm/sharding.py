@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from personaloom.llm.repeats import with_repeats
 from personaloom.llm.storage import stored
 from personaloom.llm.thresholds import PLACE_BITS, nested_cuts, place_of
 
@@ -204,7 +205,8 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot and grown_shard (null) of every row; equal texts are linked.
 
     The size is the text's UTF-8 bytes (null: none) plus 1; a null text has the checksum of nothing. Nulls are
-    not linked. Repeated rows each get a slot. Other columns are left out.
+    not linked. Repeated rows, thousands of one id and text or without both, each get a slot and a place of their
+    own. Other columns are left out.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
@@ -212,7 +214,10 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
         (F.length(raw) + 1).cast("bigint").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("link"),
-    ).withColumn("place", place_of("doc_id", "link", "size"))
+    )
+    # copies of a row get places of their own, so that a cut can fall between them
+    rows = with_repeats(stored(rows.withColumn("key", F.xxhash64("doc_id", "link", "size"))), "key")
+    rows = rows.select("doc_id", "size", "text_crc32", "link", place_of("key", "repeat").alias("place"))
     done = stored(assign(stored(rows), shards))
     return with_slots(done, shards).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "link"

@@ -19,6 +19,7 @@ from personaloom.llm import chat_format, jaccard_join, mixing, quality, sharding
 from personaloom.llm.oracles import ORACLES
 from personaloom.llm.queries import QUERIES
 from personaloom.llm.storage import shared_folder
+from personaloom.llm.repeats import with_repeats
 from personaloom.llm.thresholds import PLACE_BITS, nested_cuts
 from tests.llm.conftest import SOLID, words
 from tests.llm.test_texts import _contamination, brute_components
@@ -142,6 +143,33 @@ def test_mix(spark, odd, none):
     assert mixing.mixed_documents(odd).columns == odd.columns and mixing.mixed_documents(none).count() == 0
 
 
+def test_mix_tells_copies_apart(spark):
+    """Thousands of rows without ids, and of one id and text: targets are met as with ids of their own."""
+    rows = [(None, f"{'w ' * 2}{i if k else ''}", s) for k, s in enumerate("abc") for i in range(3000)]
+    rows += [(7, "same text of six words here", "c")] * 5000 + [(8, None, "a")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        used = sum(r.size * r.copies for r in own)
+        assert own[0].target - 7 <= used <= own[0].target
+    again = mixing.mix(docs.repartition(7)).collect()
+    count = lambda found: Counter((r.doc_id, r.source, r.size, r.copies) for r in found)
+    assert count(got) == count(again)
+    assert mixing.mixed_documents(docs).count() == sum(r.copies for r in got)
+
+
+@pytest.mark.parametrize("block_rows", [50, 20_000])
+def test_repeats_are_numbered_once(spark, block_rows):
+    rows = [(k, i % 3) for k, n in enumerate([1, 1, 700, 2, 131]) for i in range(n)]
+    got = with_repeats(spark.createDataFrame(rows, "key long, x long"), "key", block_rows=block_rows).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.key, []).append(r.repeat)
+    assert {k: sorted(v) for k, v in by.items()} == {k: list(range(n)) for k, n in enumerate([1, 1, 700, 2, 131])}
+
+
 def _copies(rows):
     out = Counter()
     for r in rows:
@@ -204,6 +232,26 @@ def test_shards_of_many_links(spark, groups, copies, single, whole, parts):
     assert sum(n == 1 for n in linked) >= whole and max(linked) <= parts
 
 
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(7, "the same text")] * 10_000,
+        [(None, None)] * 10_000,
+        [(None, None)] * 6000 + [(3, "one text")] * 6000 + [(i, f"other {i}") for i in range(500)],
+    ],
+)
+def test_shards_of_repeated_rows(spark, rows):
+    """Rows that are equal in every column are dealt out like others, one row more or less a shard."""
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 16).collect()
+    sizes, slots = Counter(), {}
+    for r in got:
+        sizes[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == len(rows) and set(sizes) == set(range(16))
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in got)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 # --- registration ------------------------------------------------------------------------------
 
 
