@@ -106,42 +106,78 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.count = 0
+        self.table = np.zeros(1 << 14, np.uint64)  # keys by open addressing, and the number of each, -1 for none
+        self.number = np.full(len(self.table), -1, np.int32)
         self.offset = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int32)
         self.ids = np.zeros(1 << 14, np.int32)
         self.used = 0
 
-    def _add(self, hashes: list[int], pieces: list[str]) -> None:
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for those that are not kept."""
+        last = len(self.table) - 1
+        slot = (keys & np.uint64(last)).astype(np.int64)
+        found = self.number[slot]
+        left = np.flatnonzero((found >= 0) & (self.table[slot] != keys))
+        while len(left):  # their slot is another key's: the next one
+            slot[left] = (slot[left] + 1) & last
+            found[left] = self.number[slot[left]]
+            left = left[(found[left] >= 0) & (self.table[slot[left]] != keys[left])]
+        return found
+
+    def _keep(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Enters distinct keys that are not kept yet; the table stays at most half full."""
+        if 2 * (self.count + len(keys)) > len(self.table):
+            old = np.flatnonzero(self.number >= 0)
+            keys, numbers = np.concatenate([self.table[old], keys]), np.concatenate([self.number[old], numbers])
+            size = 1 << int(4 * len(keys) - 1).bit_length()
+            self.table, self.number = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        last = len(self.table) - 1
+        slot = (keys & np.uint64(last)).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.number[slot[left]] < 0]
+            self.number[slot[free]] = numbers[free]  # of several keys at one slot the last one stays
+            mine = free[self.number[slot[free]] == numbers[free]]
+            self.table[slot[mine]] = keys[mine]
+            left = np.setdiff1d(left, mine, assume_unique=True)
+            slot[left] = (slot[left] + 1) & last
+
+    def _append(self, numbers: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.length[numbers] = lengths
+        self.offset[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Encodes pieces whose keys are not kept yet, and keeps their ids."""
+        n = self.count
+        while n + len(pieces) > len(self.offset):
+            self.offset, self.length = np.resize(self.offset, 2 * len(self.offset)), np.resize(self.length, 2 * len(self.length))
         blank = [i for i, p in enumerate(pieces) if p.isspace()]
-        solid = [i for i, p in enumerate(pieces) if not p.isspace()]
-        found: list[np.ndarray] = [None] * len(pieces)
-        for i, e in zip(blank, self.tokenizer.encode_batch_fast([pieces[i] for i in blank], add_special_tokens=False), strict=True):
-            found[i] = np.array(e.ids, np.int32)
+        if blank:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in blank], add_special_tokens=False)]
+            flat = np.array([x for ids in found for x in ids], np.int32)
+            self._append(n + np.array(blank), np.array([len(x) for x in found], np.int64), flat)
+        solid = np.setdiff1d(np.arange(len(pieces)), blank)
         for k in range(0, len(solid), 4096):  # a line break never joins what stands around it
             group = solid[k : k + 4096]
-            joined = "\n".join(pieces[i] for i in group)
+            joined = "\n".join([pieces[i] for i in group.tolist()])
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.cumsum([len(pieces[i].encode()) + 1 for i in group]) - 1
+            raw = np.frombuffer(joined.encode() + b"\n", np.uint8)
+            ends = np.flatnonzero(raw == 10)
             at = np.cumsum(self.bytes_of_id[ids])
             stop = np.searchsorted(at, ends, "left") + 1
-            if not (at[stop - 1] == ends).all():
+            if len(ends) != len(group) or not (at[stop - 1] == ends).all():
                 raise ValueError("the tokenizer joined pre-tokens")
-            start = np.append(0, stop[:-1] + 1)
-            for i, a, b in zip(group, start.tolist(), stop.tolist(), strict=True):
-                found[i] = ids[a:b]
-        lengths = np.array([len(x) for x in found], np.int32)
-        flat = np.concatenate(found)
-        n = len(self.known)
-        while n + len(found) > len(self.offset):
-            self.offset, self.length = np.resize(self.offset, 2 * len(self.offset)), np.resize(self.length, 2 * len(self.length))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.length[n : n + len(found)] = lengths
-        self.offset[n : n + len(found)] = self.used + np.cumsum(lengths) - lengths
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.known.update(zip(hashes, range(n, n + len(found)), strict=True))
+            own = np.ones(len(ids), bool)
+            own[stop[:-1]] = False  # the line breaks
+            self._append(n + group, np.diff(stop, prepend=-1) - 1, ids[own])
+        self._keep(keys, n + np.arange(len(pieces)))
+        self.count += len(pieces)
 
     def pieces(self, text: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the pre-tokens of joined texts, and the cached number of each."""
@@ -152,18 +188,18 @@ class PieceEncoder:
         total = np.zeros(len(cp) + 1, np.uint64)
         np.cumsum(tables()[1][cp] * up, out=total[1:])
         keys = mixed((total[ends] - total[starts]) * down[starts])
-        distinct, place, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > self.limit:
-            self.clear()
-        number = [self.known.get(k, -1) for k in distinct.tolist()]
-        new = [i for i, x in enumerate(number) if x < 0]
-        if new:
-            n = len(self.known)
-            at = place[new]
-            self._add(distinct[new].tolist(), [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            for i, k in enumerate(new):
-                number[k] = n + i
-        return starts, np.array(number, np.int64)[back]
+        number = self._find(keys)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            distinct, place, back = np.unique(keys[new], return_index=True, return_inverse=True)
+            if self.count + len(distinct) > self.limit:
+                self.clear()
+                new = np.arange(len(keys))
+                distinct, place, back = np.unique(keys, return_index=True, return_inverse=True)
+            n, at = self.count, new[place]
+            self._add(distinct, [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            number[new] = n + back
+        return starts, number.astype(np.int64)
 
     def slices(self, texts: pa.Array) -> Iterator[Slice]:
         """The batch in slices of about half a megabyte, so that scratch memory stays small."""
