@@ -1,5 +1,6 @@
 """Readers, writers, whole plans and the corpus stream on files."""
 
+import csv
 import json
 
 import pytest
@@ -74,6 +75,42 @@ def test_quoted_tsv_round_trip(spark, tmp_path):
     assert back == {str(i): t for i, t in enumerate(TEXTS)}
 
 
+CELLS = ["plain", "two\nlines", "", '"', 'quote "inside"\nand\n\nblank lines', "tab\there", "é 日本\n", "end\\", "a,b", None]
+
+
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+def test_one_large_multiline_file_is_read_by_many_tasks(spark, tmp_path, line_end):
+    """Records that lie across one split or several, against Python's own reader."""
+    path = tmp_path / "t.tsv"
+    rows = [[str(i), CELLS[i % len(CELLS)], CELLS[i * 7 % 9] if i % 50 else "long\n" * 400 + "end"] for i in range(1500)]
+    with path.open("w", newline="", encoding="utf-8") as f:
+        out = csv.writer(f, delimiter="\t", lineterminator=line_end)
+        out.writerow(["id", "a", "b"])
+        out.writerows(rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 8
+        got = readers.read_tsv(spark, str(path)).collect()
+        named = readers.read_tsv(spark, str(path), "x string, y string, z string")
+        assert named.columns == ["x", "y", "z"] and named.count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with path.open(newline="", encoding="utf-8") as f:
+        want = list(csv.reader(f, delimiter="\t"))[1:]
+    assert sorted([r["id"], r["a"] or "", r["b"] or ""] for r in got) == sorted(want)
+
+
+def test_multiline_files_of_a_folder(spark, tmp_path):
+    """Every file has its header; one holds nothing else, one is empty, one ends inside quotes."""
+    (tmp_path / "a.tsv").write_text('k\tv\n1\t"x\ny"\n\n2\tz\n')
+    (tmp_path / "b.tsv").write_text("k\tv\n")
+    (tmp_path / "c.tsv").write_text("")
+    (tmp_path / "d.tsv").write_text('k\tv\n3\t"never\nclosed\n')
+    got = sorted(map(tuple, readers.read_tsv(spark, str(tmp_path), "k string, v string").collect()))
+    assert [r[0] for r in got] == ["1", "2", "3"] and got[0][1] == "x\ny" and got[2][1].startswith("never\nclosed")
+
+
 def test_json_sink_keeps_nulls(spark, tmp_path):
     writers.write_json_lines(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "j"))
     assert json.loads(spark.read.text(str(tmp_path / "j")).first()[0]) == {"a": 1, "b": None}
