@@ -56,78 +56,98 @@ def address_parts(address: Column) -> Column:
     return F.transform(ranked, lambda r: r["part"])
 
 
-def _match(field: str, original: Column, value: Column, found: Column) -> Column:
-    row = F.struct(
-        F.lit(field).alias("field"),
-        original.cast("string").alias("original"),
-        value.alias("matched"),
-    )
-    return F.when(found & long_enough(value), row)
+# A profile value to look for, and the form of the text to look in: lower, alnum or digits.
+VALUE = "struct<field:string,mode:string,original:string,value:string>"
+VALUES = "_search_values"
 
 
-def field_matches(lowered: Column, digits: Column, alnum: Column, handles: Column) -> Column:
-    """ARRAY<STRUCT<field, original, matched>> of the profile fields that a text reveals.
+def field_values() -> Column:
+    """ARRAY of VALUE: every profile field in the spelling that texts are searched for; nulls are left out.
 
-    The three text forms must be stored columns (lower case, digits only,
-    letters and digits only), so that each is computed once per text.
-    Profile columns are read by `column_name`; `handles` is the parsed map.
+    Identifiers are reduced to letters and digits, phone numbers to digits, all others to lower case. Health fields that
+    say 'none' hold nothing. Profile columns are read by `column_name`.
     """
+    forms = [
+        ("lower", GENERAL_FIELDS, lambda c: F.lower(c.cast("string"))),
+        ("alnum", ID_FIELDS, alnum_only),
+        ("digits", PHONE_FIELDS, digits_only),
+        ("lower", HEALTH_FIELDS, lambda c: F.nullif(F.lower(c), F.lit("none"))),
+    ]
     found = []
-    for f in GENERAL_FIELDS:
-        c = F.col(column_name(f))
-        v = F.lower(c.cast("string"))
-        found.append(_match(f, c, v, F.contains(lowered, v)))
-    for f in ID_FIELDS:
-        c = F.col(column_name(f))
-        v = alnum_only(c)
-        found.append(_match(f, c, v, F.contains(alnum, v)))
-    for f in PHONE_FIELDS:
-        c = F.col(column_name(f))
-        v = digits_only(c)
-        found.append(_match(f, c, v, F.contains(digits, v)))
-    for f in HEALTH_FIELDS:
-        c = F.col(column_name(f))
-        v = F.lower(c)
-        found.append(_match(f, c, v, (v != "none") & F.contains(lowered, v)))
-
-    address = F.col(column_name(ADDRESS_FIELD))
-    part = F.get(F.filter(address_parts(address), lambda p: F.contains(lowered, p)), F.lit(0))
-    found.append(_match(ADDRESS_FIELD, address, part, part.isNotNull()))
+    for mode, fields, spelt in forms:
+        for field in fields:
+            c = F.col(column_name(field))
+            row = F.struct(F.lit(field).alias("field"), F.lit(mode).alias("mode"), c.cast("string").alias("original"), spelt(c).alias("value"))
+            found.append(F.when(spelt(c).isNotNull(), row))
+    return F.array_compact(F.array(*found))
+
 
+def search_values() -> Column:
+    """The field values that are long enough to tell something."""
+    return F.filter(field_values(), lambda v: long_enough(v["value"]))
+
+
+def with_search_values(records: DataFrame, handles: str = "social_media_handles") -> DataFrame:
+    """Adds what `field_matches` looks for, built once per record: values, address parts and handles."""
     pairs = F.flatten(
         F.transform(
-            F.map_entries(handles),
-            lambda e: F.transform(e["value"], lambda h: F.struct(e["key"].alias("p"), h.alias("h"))),
+            F.map_entries(parse_handles(F.col(handles))),
+            lambda e: F.transform(e["value"], lambda h: F.struct(e["key"].alias("p"), h.alias("h"), F.lower(h).alias("low"))),
         )
     )
-    named = F.filter(pairs, lambda p: (p["h"] != "") & F.contains(lowered, F.lower(p["h"])))
+    made = F.struct(
+        search_values().alias("values"),
+        F.col(column_name(ADDRESS_FIELD)).cast("string").alias("address"),
+        address_parts(F.col(column_name(ADDRESS_FIELD))).alias("parts"),
+        F.filter(pairs, lambda p: p["h"] != "").alias("handles"),
+    )
+    return records.withColumn(VALUES, made)
+
+
+def field_matches(lowered: Column, digits: Column, alnum: Column) -> Column:
+    """ARRAY<STRUCT<field, original, matched>> of the profile fields that a text reveals.
+
+    The three text forms must be stored columns (lower case, digits only, letters and digits only), so that
+    each is computed once per text. The values come from `with_search_values`; of an address the longest part counts.
+    """
+    wanted = F.col(VALUES)
+
+    def reveals(v):
+        return (
+            F.when(v["mode"] == "lower", F.contains(lowered, v["value"]))
+            .when(v["mode"] == "digits", F.contains(digits, v["value"]))
+            .otherwise(F.contains(alnum, v["value"]))
+        )
+
+    by_field = F.transform(
+        F.filter(wanted["values"], reveals),
+        lambda v: F.struct(v["field"].alias("field"), v["original"].alias("original"), v["value"].alias("matched")),
+    )
+    part = F.slice(F.filter(wanted["parts"], lambda p: F.contains(lowered, p)), 1, 1)
+    by_address = F.transform(
+        part, lambda p: F.struct(F.lit(ADDRESS_FIELD).alias("field"), wanted["address"].alias("original"), p.alias("matched"))
+    )
     by_handle = F.transform(
-        named,
+        F.filter(wanted["handles"], lambda p: F.contains(lowered, p["low"])),
         lambda p: F.struct(
-            F.lit(HANDLE_FIELD).alias("field"),
-            F.concat(p["p"], F.lit(": "), p["h"]).alias("original"),
-            F.lower(p["h"]).alias("matched"),
+            F.lit(HANDLE_FIELD).alias("field"), F.concat(p["p"], F.lit(": "), p["h"]).alias("original"), p["low"].alias("matched")
         ),
     )
     none = F.expr(f"cast(array() as array<{MATCH}>)")
-    return F.concat(F.array_compact(F.array(*found)), F.coalesce(by_handle, none))
+    return F.concat(by_field, F.coalesce(by_address, none), F.coalesce(by_handle, none))
 
 
 def add_mentions(texts: DataFrame, text: str = "text", handles: str = "social_media_handles") -> DataFrame:
-    """Add the matches and their counts to rows that hold a text and its profile columns."""
+    """Add the matches and their counts to rows that hold a text and its profile columns.
+
+    Rows of `with_search_values` bring what to look for along; others get it here.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    forms = texts.withColumns(
-        {
-            "_lower": F.lower(t),
-            "_digits": digits_only(t),
-            "_alnum": alnum_only(t),
-            "_handles": parse_handles(F.col(handles)),
-        }
-    )
+    rows = texts if VALUES in texts.columns else with_search_values(texts, handles)
+    forms = rows.withColumns({"_lower": F.lower(t), "_digits": digits_only(t), "_alnum": alnum_only(t)})
     matched = forms.withColumn(
-        "mentions",
-        field_matches(F.col("_lower"), F.col("_digits"), F.col("_alnum"), F.col("_handles")),
-    ).drop("_lower", "_digits", "_alnum", "_handles")
+        "mentions", field_matches(F.col("_lower"), F.col("_digits"), F.col("_alnum"))
+    ).drop("_lower", "_digits", "_alnum", VALUES)
     fields = F.array_distinct(F.transform(F.col("mentions"), lambda m: m["field"]))
     return (
         matched.withColumn("mentioned_pii_fields", fields)
@@ -174,8 +194,11 @@ def explode_pairs(
 
 
 def feature_rows(records: DataFrame) -> DataFrame:
-    """One row per text with its features and mentions; row-local, so no shuffle."""
-    return add_mentions(explode_pairs(records), "synthetic_text")
+    """One row per text with its features and mentions; row-local, so no shuffle.
+
+    What is looked for is built once per record, before its texts are taken apart.
+    """
+    return add_mentions(explode_pairs(with_search_values(records)), "synthetic_text")
 
 
 def mention_details(features: DataFrame, keep: tuple[str, ...] = ("unique_id",)) -> DataFrame:

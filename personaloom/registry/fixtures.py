@@ -123,6 +123,11 @@ RECORD_RULES: dict[str, str] = {
     "error": "CASE WHEN conv_id % 9 = 0 THEN 'timeout' ELSE NULL END",
 }
 
+# The columns of a record that make up its profile.
+PROFILE_FIELDS = [c for c in RECORD_RULES if c not in (
+    "conv_id", "turn", "age_text", "model_output", "passage_output", "real_person_text_input", "error"
+)]
+
 RECORDS_SQL = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in RECORD_RULES.items()) + " FROM conversations"
 
 

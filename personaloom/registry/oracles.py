@@ -237,10 +237,14 @@ ORACLES["p16_decoded_corpus"] = (
     "AS text FROM documents"
 )
 ORACLES["p17_decoded_cells"] = "SELECT cast(doc_id AS VARCHAR) AS doc_id, lang, text FROM documents"
+def _json_of(columns: list[str], table: str = "") -> str:
+    """The named columns as one JSON text, nulls included."""
+    return "cast(to_json({" + ", ".join(f"'{c}': {table}{c}" for c in columns) + "}) AS VARCHAR)"
+
+
 ORACLES["p18_string_records"] = records_sql(
-    "SELECT cast(conv_id AS VARCHAR) AS conv_id, cast(turn AS VARCHAR) AS turn, cast(age AS VARCHAR) AS age, "
-    "coalesce(spouse_name, '') AS spouse_name, first_name, cast(to_json({'conv_id': conv_id, 'turn': turn, "
-    "'age': age, 'spouse_name': spouse_name, 'first_name': first_name}) AS VARCHAR) AS complete_info FROM records"
+    "SELECT " + ", ".join(f"coalesce(cast({c} AS VARCHAR), '') AS {c}" for c in X.RECORD_RULES)
+    + f", {_json_of(list(X.RECORD_RULES))} AS complete_info FROM records"
 )
 ORACLES["p19_end_marker"] = "SELECT doc_id, text || '<end>' AS text FROM documents"
 
@@ -257,8 +261,7 @@ PROMPTS = (
     f"SELECT *, '**Inputs**:' || {NL} || 'real_wiki_inspiration_text:' || {NL} || real_text || ' ' || {NL} || "
     f"' synthetic_profile_json: ' || {NL} || ' ' || profile_json AS user_prompt FROM (SELECT conv_id, turn, "
     f"CASE WHEN turn % 5 <> 4 THEN unique_id || '-' || turn ELSE {_UUID} END AS custom_id, "
-    f"{_INSPIRATION} AS real_text, cast(to_json({{'unique_id': unique_id, 'first_name': first_name, "
-    "'age': age}) AS VARCHAR) AS profile_json FROM records)",
+    f"{_INSPIRATION} AS real_text, {_json_of(X.PROFILE_FIELDS)} AS profile_json FROM records)",
 )
 ORACLES["b1_inspiration"] = cte(
     RECORDS, PROMPTS, select="SELECT conv_id, turn, real_text AS real_person_text_input FROM prompts"
@@ -267,8 +270,9 @@ ORACLES["b2_article_prompts"] = cte(RECORDS, PROMPTS, select="SELECT conv_id, tu
 ORACLES["b3_online_text_prompts"] = cte(
     RECORDS, PASSAGES,
     select=f"SELECT conv_id, turn, '**Synthetic Profile Json**:' || {NL} || CASE WHEN turn % 4 <> 1 THEN "
-    "cast(to_json({'unique_id': unique_id, 'age': cast(18 + conv_id % 73 AS INTEGER)}) AS VARCHAR) "
-    f"ELSE '{{}}' END || {NL} || {NL} || '**Synthetic Persona Article**:' || {NL} || passage AS user_prompt FROM passages",
+    f"{_json_of(X.PROFILE_FIELDS, 'r.')} "
+    f"ELSE '{{}}' END || {NL} || {NL} || '**Synthetic Persona Article**:' || {NL} || passage AS user_prompt "
+    "FROM passages JOIN records r USING (conv_id, turn)",
 )
 ORACLES["b4_batch_requests"] = cte(
     RECORDS, PROMPTS,
@@ -460,6 +464,29 @@ def _detail_sql(fields: list[str] | None, source: str = "all_hits", text: str =
     )
 
 
+def _value_rows() -> str:
+    rows = []
+    for mode, fields in (("lower", M.GENERAL_FIELDS), ("alnum", M.ID_FIELDS), ("digits", M.PHONE_FIELDS), ("lower", M.HEALTH_FIELDS)):
+        for f in fields:
+            c = M.column_name(f)
+            v = f"lower(cast({c} AS VARCHAR))"
+            if mode == "alnum":
+                v = f"regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
+            elif mode == "digits":
+                v = f"regexp_replace({c}, '[^0-9]', '', 'g')"
+            elif f in M.HEALTH_FIELDS:
+                v = f"nullif({v}, 'none')"
+            name = f.replace("'", "''")
+            rows.append(f"{{'field': '{name}', 'mode': '{mode}', 'original': cast({c} AS VARCHAR), 'value': {v}}}")
+    return "[" + ", ".join(rows) + "]"
+
+
+VALUE_ROWS = f"(SELECT conv_id, turn, m.field, m.mode, m.original, m.value FROM (SELECT *, unnest({_value_rows()}) AS m FROM records) WHERE m.value IS NOT NULL)"
+ORACLES["m2_search_values"] = records_sql(f"SELECT * FROM {VALUE_ROWS}")
+ORACLES["m3_length_gate"] = records_sql(
+    "SELECT conv_id, turn, field, cast(length(value) AS INTEGER) AS n, "
+    f"regexp_full_match(value, '[0-9]+') OR length(value) >= 3 AS long_enough FROM {VALUE_ROWS}"
+)
 ORACLES["m4_phone_mentions"] = _detail_sql(M.PHONE_FIELDS)
 ORACLES["m5_id_mentions"] = _detail_sql(M.ID_FIELDS)
 ORACLES["m6_address_mentions"] = _detail_sql([M.ADDRESS_FIELD])
@@ -497,8 +524,9 @@ ORACLES["j1_file_pairs"] = (
 )
 ORACLES["j1_file_errors"] = (
     "SELECT line_number, 'JSON Decode Error' AS error, md5(CASE WHEN item_id % 4 = 1 THEN substr(line, 1, 12) ELSE line END) AS left_md5, "
-    "substr('{\"doc_id\":' || doc_id || ',\"lang\"', 1, 12) AS right_start FROM (SELECT *, "
-    "CAST(to_json({'item_id': item_id, 'text': item_text}) AS VARCHAR) AS line "
+    "md5(CASE WHEN doc_id % 10 = 3 THEN substr(right_line, 1, 12) ELSE right_line END) AS right_md5 FROM (SELECT *, "
+    "CAST(to_json({'item_id': item_id, 'text': item_text}) AS VARCHAR) AS line, "
+    "CAST(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'text': text}) AS VARCHAR) AS right_line "
     f"{_LINES}) WHERE item_id % 4 = 1 OR doc_id % 10 = 3"
 )
 SUBSET = ("subset", "SELECT DISTINCT text FROM documents UNION ALL SELECT text FROM benchmark")

@@ -356,8 +356,7 @@ def p17_decoded_cells(spark, sf):
 
 @query
 def p18_string_records(spark, sf):
-    r = X.records(spark, sf).select(*ROW, "age", "spouse_name", "first_name")
-    return corpus.as_string_record(r)
+    return corpus.as_string_record(X.records(spark, sf))
 
 
 @query
@@ -368,6 +367,11 @@ def p19_end_marker(spark, sf):
 # --- prompts and requests ----------------------------------------------------------------------
 
 
+def profile_json() -> F.Column:
+    """The whole profile as JSON, nulls included."""
+    return F.to_json(F.struct(*X.PROFILE_FIELDS), {"ignoreNullFields": "false"})
+
+
 def prompt_rows(spark, sf):
     """Requests per record: id (missing for every fifth turn), inspiration and prompt."""
     docs = X.records(spark, sf)
@@ -376,7 +380,7 @@ def prompt_rows(spark, sf):
         F.when(F.col("turn") % 3 == 0, F.col("passage_output")),
         F.col("spouse_name"),
     )
-    profile = F.to_json(F.struct("unique_id", "first_name", "age"))
+    profile = profile_json()
     own_id = F.when(F.col("turn") % 5 != 4, F.concat("unique_id", F.lit("-"), F.col("turn").cast("string")))
     return docs.select(
         *ROW,
@@ -400,7 +404,7 @@ def b2_article_prompts(spark, sf):
 @query
 def b3_online_text_prompts(spark, sf):
     r = X.records(spark, sf).withColumn("passage", blocks.passage(F.col("passage_output")))
-    profile = F.when(F.col("turn") % 4 != 1, F.to_json(F.struct("unique_id", "age")))
+    profile = F.when(F.col("turn") % 4 != 1, profile_json())
     return r.select(*ROW, prompts.online_text_prompt(profile, F.col("passage")).alias("user_prompt"))
 
 
@@ -502,6 +506,22 @@ def _details(spark, sf, fields: list[str]):
     return d.filter(F.col("pii_field_name").isin(fields)).drop("synthetic_text", "content_type")
 
 
+def _field_values(spark, sf):
+    values = X.records(spark, sf).select(*ROW, mentions.field_values().alias("v"))
+    return values.select(*ROW, F.inline("v"))
+
+
+@query
+def m2_search_values(spark, sf):
+    return _field_values(spark, sf)
+
+
+@query
+def m3_length_gate(spark, sf):
+    long = mentions.long_enough(F.col("value")).alias("long_enough")
+    return _field_values(spark, sf).select(*ROW, "field", F.length("value").alias("n"), long)
+
+
 @query
 def m4_phone_mentions(spark, sf):
     return _details(spark, sf, mentions.PHONE_FIELDS)
@@ -580,7 +600,7 @@ def j1_file_pairs(spark, sf):
 
 @query
 def j1_file_errors(spark, sf):
-    return pairing.bad_pairs(_file_pairs(spark, sf)).select("line_number", "error", F.md5("left_line").alias("left_md5"), F.substring("right_line", 1, 12).alias("right_start"))
+    return pairing.bad_pairs(_file_pairs(spark, sf)).select("line_number", "error", F.md5("left_line").alias("left_md5"), F.md5("right_line").alias("right_md5"))
 
 
 def _subset(spark, sf):
