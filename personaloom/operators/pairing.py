@@ -1,74 +1,83 @@
-"""Positional pairing of two tables."""
+"""Row numbers, spans of positions, and positional pairing of two tables."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from personaloom.plans.lineage import cut
 
-# Rows that one task ranks.
-RANGE_ROWS = 500_000
+# Bits of monotonically_increasing_id below the partition's number.
+_PLACE_BITS = 33
 
 
-def _ranged(df: DataFrame, key: str, buckets: int | None) -> tuple[DataFrame, DataFrame]:
-    """Rows with the key range they fall in, and per range its size and the rows before it.
+def _names(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
 
-    The number of ranges follows the number of rows, without an upper bound.
-    """
-    if buckets is None:
-        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(least, -(-df.select(key).count() // RANGE_ROWS))
-    points = [i / buckets for i in range(1, buckets)]
-    inner = sorted(set(df.approxQuantile(key, points, 0.1 / buckets))) if points else []
-    edges = [float("-inf"), *inner, float("inf")]
-    ranged = Bucketizer(
-        splits=edges, inputCol="_key", outputCol="_range", handleInvalid="keep"
-    ).transform(df.withColumn("_key", F.col(key).cast("double"))).drop("_key")
-    # one row per range, so the running sum is a small single-task window
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn(
-        "_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")
-    )
-    return ranged, before
 
+def _placed(df: DataFrame, keys: list[str], number: str, buckets: int | None) -> DataFrame:
+    """`df` with its rows' positions from 1 in the order of the keys, nulls first.
 
-def number_rows(df: DataFrame, key: str, number: str = "line_number", buckets: int | None = None) -> DataFrame:
-    """Number rows 1..n by a numeric, unique key, without moving the table to one task.
+    A sample of the keys, of any type and number, gives the ranges; rows are sorted inside them and shifted by
+    the count of the ranges before, one row per range. The sorted rows are stored, so counts and positions rest
+    on the same ranges whatever executors do.
+    """
+    ranged = df.repartitionByRange(buckets, *keys) if buckets else df.repartitionByRange(*keys)
+    rows = cut(ranged.sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", _PLACE_BITS)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.col("_at") - F.shiftleft(F.col("_part"), _PLACE_BITS)
+    numbered = rows.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return numbered.withColumn(number, F.col("_before") + inside + 1).drop("_part", "_at", "_before")
+
+
+def number_rows(
+    df: DataFrame, key: str | list[str], number: str = "line_number", buckets: int | None = None
+) -> DataFrame:
+    """Number rows 1..n in the order of a unique key, without moving the table to one task.
 
-    Rows are cut into key ranges at approximate quantiles, numbered within
-    each range and shifted by the row count of the ranges before. Runs one job
-    for the quantiles; they steer balance only, not the result.
+    The key is a column of any type that sorts, or several; a null comes before all values.
     """
-    ranged, before = _ranged(df, key, buckets)
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    numbered = ranged.withColumn("_local", local).join(F.broadcast(before), "_range")
-    return numbered.withColumn(number, F.col("_before") + F.col("_local")).drop(
-        "_range", "_local", "_before", "_n"
-    )
+    return _placed(df, _names(key), number, buckets)
+
+
+def _reaches(keys: list[str], bound: tuple, last: bool) -> Column:
+    """Whether a row's key stands at or behind `bound`, or with `last` at or before it."""
+    if len(keys) > 1:
+        own, other = F.struct(*keys), F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, bound, strict=True)])
+        return own <= other if last else own >= other
+    # a plain comparison reaches the files; nulls come first
+    c, value = F.col(keys[0]), bound[0]
+    if value is None:
+        return c.isNull() if last else F.lit(True)
+    return (c <= F.lit(value)) | c.isNull() if last else c >= F.lit(value)
 
 
 def rows_between(
-    df: DataFrame, key: str, first: int, last: int | None = None, buckets: int | None = None
+    df: DataFrame, key: str | list[str], first: int, last: int | None = None, buckets: int | None = None
 ) -> DataFrame:
-    """Rows at positions first..last (from 1) by a numeric, unique key.
+    """Rows at positions first..last (from 1) in the order of a unique key.
 
-    Only the key ranges that hold an end of the span are ranked; ranges inside
-    it are kept as they are.
+    The key is a column of any type that sorts, or several. Only keys are sorted, to find those of the
+    two ends; the rows themselves are kept by a comparison with them and stay where they are.
     """
-    ranged, before = _ranged(df, key, buckets)
-    placed = ranged.join(F.broadcast(before), "_range")
-    begin, end = F.col("_before") + 1, F.col("_before") + F.col("_n")
-    inside, touching = begin >= first, end >= first
-    if last is not None:
-        inside, touching = inside & (end <= last), touching & (begin <= last)
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    place = F.col("_before") + F.col("_local")
-    ends = placed.filter(touching & ~inside).withColumn("_local", local).filter(place >= first)
-    if last is not None:
-        ends = ends.filter(place <= last)
-    out = placed.filter(inside).unionByName(ends.drop("_local"))
-    return out.drop("_range", "_before", "_n")
+    keys = _names(key)
+    ends = {p for p in (first, last) if p is not None and p > 1}
+    found = {}
+    if ends:
+        numbered = _placed(df.select(*keys), keys, "_position", buckets).filter(F.col("_position").isin(list(ends)))
+        found = {r["_position"]: tuple(r[k] for k in keys) for r in numbered.collect()}
+    if last is not None and last < max(first, 1) or first > 1 and first not in found:
+        return df.limit(0)
+    out = df
+    if first > 1:
+        out = out.filter(_reaches(keys, found[first], last=False))
+    if last is not None and last in found:
+        out = out.filter(_reaches(keys, found[last], last=True))
+    elif last == 1:
+        out = out.orderBy(*keys).limit(1)
+    return out
 
 
 def pair_by_position(left: DataFrame, right: DataFrame, number: str = "line_number") -> DataFrame:

@@ -150,6 +150,9 @@ def top_values(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
     return ordered if n is None else ordered.limit(n)
 
 
-def skip_take(df: DataFrame, key: str, skip: int = 0, take: int | None = None) -> DataFrame:
-    """Leave out the first `skip` rows by a numeric, unique key, then keep the next `take`."""
+def skip_take(df: DataFrame, key: str | list[str], skip: int = 0, take: int | None = None) -> DataFrame:
+    """Leave out the first `skip` rows in the order of a unique key, then keep the next `take`.
+
+    The key is a column of any type that sorts, or several.
+    """
     return rows_between(df, key, skip + 1, None if take is None else skip + take)

@@ -529,6 +529,16 @@ ORACLES["j1_file_errors"] = (
     "CAST(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'text': text}) AS VARCHAR) AS right_line "
     f"{_LINES}) WHERE item_id % 4 = 1 OR doc_id % 10 = 3"
 )
+ORACLES["j1_pairs_by_text"] = (
+    "SELECT line_number, source, text_md5, id, turn_key FROM (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, "
+    "text_md5 NULLS FIRST, id) AS line_number FROM (SELECT source, md5(text) AS text_md5, cast(doc_id AS VARCHAR) AS id FROM documents)) "
+    "JOIN (SELECT *, row_number() OVER (ORDER BY turn_key) AS line_number FROM (SELECT concat_ws('-', role, conv_id, turn) "
+    "AS turn_key FROM conversations)) USING (line_number)"
+)
+ORACLES["o6_skip_take_by_text"] = (
+    "SELECT event_type, md5(cast(event_id AS VARCHAR)) AS digest, event_id FROM events "
+    "ORDER BY event_type NULLS FIRST, digest LIMIT 1500 OFFSET 777"
+)
 SUBSET = ("subset", "SELECT DISTINCT text FROM documents UNION ALL SELECT text FROM benchmark")
 ORACLES["j2_exact_link"] = cte(
     SUBSET, select="SELECT md5(s.text) AS text_md5, d.doc_id AS id FROM subset s LEFT JOIN documents d USING (text)"

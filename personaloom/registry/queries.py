@@ -882,6 +882,22 @@ def o6_skip_take(spark, sf):
     return sampling.skip_take(docs, "o_orderkey", skip=1234, take=2345)
 
 
+@query
+def o6_skip_take_by_text(spark, sf):
+    """By a text and a number: events by type and, as text, by time."""
+    rows = table(spark, sf, "events").select("event_type", F.md5(F.col("event_id").cast("string")).alias("digest"), "event_id")
+    return sampling.skip_take(rows, ["event_type", "digest"], skip=777, take=1500)
+
+
+@query
+def j1_pairs_by_text(spark, sf):
+    """Documents and conversations, both in the order of text keys, row i with row i."""
+    docs = table(spark, sf, "documents").select("source", F.md5("text").alias("text_md5"), F.col("doc_id").cast("string").alias("id"))
+    left = pairing.number_rows(docs, ["source", "text_md5", "id"])
+    turns = table(spark, sf, "conversations").select(F.concat_ws("-", "role", "conv_id", "turn").alias("turn_key"))
+    return pairing.pair_by_position(left, pairing.number_rows(turns, "turn_key"))
+
+
 # --- profile generation ------------------------------------------------------------------------
 
 

@@ -293,3 +293,23 @@ def test_blocks_hold_no_bracket(spark, sf_dir):
 def test_repeats(spark):
     got = sampling.repeat_rows(spark.range(3), 25)
     assert got.count() == 75 and got.columns == ["id"]
+
+
+@pytest.mark.parametrize("buckets", [None, 1, 13])
+def test_positions_by_keys_of_any_type(spark, buckets):
+    """Texts, and a text with a date and a null: numbers and spans equal those of a sorted list."""
+    pick = random.Random(8)
+    rows = [(f"k{pick.randrange(40)}", date(2020, 1, 1 + i % 28), i) for i in range(900)] + [(None, date(2020, 2, 1), -1)]
+    pick.shuffle(rows)
+    df = spark.createDataFrame(rows, "name string, day date, i int")
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2]))
+    keys = ["name", "day", "i"]
+    got = pairing.number_rows(df, keys, buckets=buckets).orderBy("line_number").collect()
+    assert [(r["name"], r["day"], r["i"]) for r in got] == ordered
+    assert [r["line_number"] for r in got] == list(range(1, 902))
+    text = df.select(F.concat_ws("/", "name", "day", "i").alias("key"))
+    by_text = sorted(r["key"] for r in text.collect())
+    for first, last in ((1, 1), (1, 5), (0, 3), (400, 410), (890, None), (901, 901), (902, None), (5, 4), (1, None), (3, 5000)):
+        want = ordered[max(first, 1) - 1 : last]
+        assert sorted(map(repr, map(tuple, pairing.rows_between(df, keys, first, last, buckets).collect()))) == sorted(map(repr, want))
+        assert sorted(r["key"] for r in pairing.rows_between(text, "key", first, last, buckets).collect()) == by_text[max(first, 1) - 1 : last]
