@@ -2,7 +2,8 @@
 
 All n-grams stand in one global order, the rare ones first. Two sets that are similar enough share an n-gram
 among the first few of each (their prefixes), so only sets that meet there are candidates. The order is cut into
-fragments; the overlap of a candidate pair is counted in each fragment apart and summed per pair.
+fragments: a set is a row for each fragment, the overlap of a candidate pair is counted in each fragment apart,
+by joins on (set, fragment), and summed per pair.
 
 The result is the components of the links, so pairs that are known to be connected need no count. Parity bits
 of each set, which give a lower bound on how far two sets are apart, rule most chance meetings out. Sets that
@@ -172,41 +173,46 @@ def profiles(docs: DataFrame, rule: Rule, levels) -> DataFrame:
 
 
 def segments(docs: DataFrame, rule: Rule, levels, wanted: DataFrame) -> DataFrame:
-    """node and its n-grams by fragment, one array each, for the sets in `wanted` (node, rep)."""
+    """node, fragment and the set's n-grams in that fragment, for the sets in `wanted` (node, text_key); no empty ones.
+
+    One text of each key is read, whatever the number of its copies and their ids.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text"):
-            node, counts, values = [], [], []
-            for wanted_node, found in zip(batch.column("node").to_pylist(), shingle_sets(batch, rule.n), strict=True):
+        for batch in bounded(batches, "text", 250_000):
+            node, fragment, counts, values = [], [], [], []
+            for own, found in zip(batch.column("node").to_pylist(), shingle_sets(batch, rule.n), strict=True):
                 places = ordered(found, levels.value)
-                if not len(places) or set_id(places) != wanted_node:  # another text under the same id
-                    continue
-                part = (places >> np.uint64(_LEVEL + 1)).astype(np.int64)
-                node.append(wanted_node)
-                counts.append(np.bincount(part, minlength=_FRAGMENTS))
-                values.append(places)
-            if node:
-                grams = list_column(np.concatenate(values).view(np.int64), np.concatenate(counts), pa.int64())
-                edges = pa.array(np.arange(len(node) + 1, dtype=np.int32) * _FRAGMENTS)
-                yield pa.record_batch([pa.array(node, pa.int64()), pa.ListArray.from_arrays(edges, grams)], ["node", "fragments"])
-
-    small = wanted.agg((F.count(F.lit(1)) * 32).alias("b")).first()["b"] <= BROADCAST_BYTES
+                each = np.bincount((places >> np.uint64(_LEVEL + 1)).astype(np.int64), minlength=_FRAGMENTS)
+                there = np.flatnonzero(each)
+                node += [own] * len(there)
+                fragment.append(there)
+                counts.append(each[there])
+                values.append(places)  # ascending, so fragment by fragment
+            grams = list_column(np.concatenate(values).view(np.int64), np.concatenate(counts), pa.int64())
+            yield pa.record_batch(
+                [pa.array(node, pa.int64()), pa.array(np.concatenate(fragment), pa.int32()), grams], ["node", "fragment", "grams"]
+            )
+
+    small = wanted.agg((F.count(F.lit(1)) * 48).alias("b")).first()["b"] <= BROADCAST_BYTES
     side = F.broadcast(wanted) if small else wanted
-    texts = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    found = texts.mapInArrow(run, "node bigint, fragments array<array<bigint>>")
-    return found.groupBy("node").agg(F.first("fragments").alias("fragments"))
+    texts = docs.select("text_key", "text").join(side, "text_key").select("node", "text")
+    one = texts.groupBy("node").agg(F.first("text").alias("text"))
+    return one.mapInArrow(run, "node bigint, fragment int, grams array<bigint>")
 
 
 def overlaps(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, levels) -> DataFrame:
-    """a, b, their sizes and their overlap: counted in each fragment apart, then summed.
+    """a, b, their sizes and their overlap, where they have one: counted for each (pair, fragment) apart, then summed.
 
-    Both joins are on whole sets, so that the sets are dealt out by node once for both of them.
+    A row of the joins holds a fragment of two sets, never two whole sets; the counts of a pair's fragments are
+    added by an aggregate with partial sums.
     """
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    parts = segments(docs, rule, levels, stored(ends.join(nodes.select("node", "rep"), "node")))
-    both = pairs.join(parts.toDF("a", "left"), "a").join(parts.toDF("b", "right"), "b")
-    shared = F.zip_with("left", "right", lambda x, y: F.size(F.array_intersect(x, y)))
-    return both.select("a", "b", "n_a", "n_b", F.aggregate(shared, F.lit(0), lambda n, x: n + x).alias("overlap"))
+    parts = segments(docs, rule, levels, stored(ends.join(nodes.select("node", "text_key"), "node")))
+    each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(_FRAGMENTS - 1))))
+    both = each.join(parts.toDF("a", "fragment", "left"), ["a", "fragment"]).join(parts.toDF("b", "fragment", "right"), ["b", "fragment"])
+    shared = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("left", "right")).alias("shared"))
+    return shared.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("overlap"))
 
 
 def _placed(live: DataFrame, found: DataFrame) -> DataFrame:
@@ -222,20 +228,24 @@ def _closest(pairs: DataFrame, end: str, most: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, levels) -> tuple[DataFrame, DataFrame]:
     """The pairs (a, b) that were counted, and the links (u, v) among them."""
-    done = stored(overlaps(pairs.select("a", "b", "n_a", "n_b"), nodes, docs, rule, levels))
+    done = overlaps(pairs.select("a", "b", "n_a", "n_b"), nodes, docs, rule, levels)
     links = done.filter(rule.linked(F.col("overlap"), F.col("n_a"), F.col("n_b")))
-    return done.select("a", "b"), links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return pairs.select("a", "b"), stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def _linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """The profile of every row of `docs` (doc_id, text and others); node, component and component_id of every set."""
     spark = docs.sparkSession
+    docs = docs.withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
     levels = spark.sparkContext.broadcast(frequency_levels(docs, rule))
     every = stored(profiles(docs, rule, levels))
     nodes = stored(
         every.filter("node is not null")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+        .agg(
+            F.min("doc_id").alias("rep"),
+            *(F.first(c).alias(c) for c in ("n", "text_key", "prefix", "bits")),
+        )
     )
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
     chain = Window.partitionBy("gram").orderBy("n", "node")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from personaloom.llm import minhash_dedup
+from personaloom.llm import jaccard_join, minhash_dedup
 from personaloom.llm.jaccard_join import Rule
 from tests.llm.conftest import SOLID, words
 
@@ -16,8 +16,12 @@ def shingles(text, n=5):
 
 
 def expected(rows, percent=85):
+    return expected_of(rows, 5, percent)
+
+
+def expected_of(rows, n, percent):
     """(doc_id, n_shingles, component_id, kept) of (doc_id, text) rows, comparing all pairs of different sets."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, n) for _, t in rows]
     every = list(dict.fromkeys(s for s in sets if s))
     root = {s: s for s in every}
 
@@ -106,3 +110,13 @@ def test_rule_of_other_widths(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = minhash_dedup.near_duplicates(docs, Rule(n=5, percent=95)).collect()
     assert ordered(got) == ordered(expected(list(enumerate(texts)), percent=95))
+
+
+def test_jaccard_join_of_rows_without_ids(spark):
+    """Thousands of rows without ids or of one id: sets are fetched by text, not by id."""
+    rows = [(None, f"copy {i % 900} " + " ".join(f"x{i % 900 // 2}y{k}" for k in range(60))) for i in range(2500)]
+    rows += [(3, "same " * 3 + "words in all of these rows") for _ in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.similarity_components(docs, Rule(n=3, percent=90))
+    want = [(d, n, c) for d, n, c, _ in expected_of(rows, 3, 90)]
+    assert ordered(got.collect()) == ordered(want)
