@@ -39,3 +39,9 @@ def fits(df: DataFrame, rows: int, text: str | None = None, max_bytes: int = TEX
     size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) if text else F.lit(0)
     found = df.agg(F.count(F.lit(1)).alias("n"), size.alias("b")).first()
     return found["n"] <= rows and found["b"] <= max_bytes
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a job has written `path` to its end: the marker that file sinks leave last."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)

@@ -280,6 +280,29 @@ ORACLES["b4_batch_requests"] = cte(
     "'body': {'model': 'model-a', 'messages': [{'role': 'system', 'content': 'Write.'}, {'role': 'user', "
     "'content': user_prompt}]}}) AS VARCHAR) AS line FROM prompts",
 )
+_LINE_UUID = _UUID.replace(_FALLBACK, "md5('request|' || line_number)")
+BATCH = (
+    "batch",
+    f"""SELECT line_number, n % 9 IN (4, 7) OR doc_id % 10 = 3 AS bad, CASE WHEN conv_id % 4 <> 1 THEN unique_id ELSE {_LINE_UUID} END AS custom_id,
+       {trim(f"lang || {NL} || CASE WHEN doc_id % 3 <> 0 THEN coalesce(text, '') ELSE '' END || {NL}")} AS real_text,
+       '{{"Unique ID":"' || CASE WHEN conv_id % 4 <> 1 THEN unique_id ELSE '' END || '","profile":' || {_json_of(X.PROFILE_FIELDS)} || '}}' AS profile_line
+FROM (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS n FROM records)
+JOIN (SELECT doc_id, text, lang, row_number() OVER (ORDER BY doc_id) AS line_number FROM documents) ON n + 1 = line_number""",
+)
+_BATCH_PROMPT = (
+    f"md5('**Inputs**:' || {NL} || 'real_wiki_inspiration_text:' || {NL} || real_text || ' ' || {NL} || "
+    f"' synthetic_profile_json: ' || {NL} || ' ' || profile_line)"
+)
+ORACLES["b4_batch_job"] = cte(
+    RECORDS, BATCH,
+    select="SELECT line_number, custom_id, real_text AS real_person_text_input, prompt_md5, count(*) OVER (PARTITION BY custom_id, prompt_md5) "
+    f"AS requests FROM (SELECT *, {_BATCH_PROMPT} AS prompt_md5 FROM batch WHERE NOT bad)",
+)
+ORACLES["b7_batch_job_counts"] = cte(
+    RECORDS, BATCH,
+    select="SELECT count(*) FILTER (NOT bad) AS prepared, count(*) FILTER (bad) AS json_errors, count(*) FILTER (bad) AS error_rows, "
+    "(sum(line_number) FILTER (bad))::BIGINT AS error_lines FROM batch",
+)
 ORACLES["b5_request_metadata"] = cte(
     RECORDS, PROMPTS,
     select="SELECT conv_id, turn, custom_id, real_text AS real_person_text_input, 'Write.' AS system_prompt, "

@@ -25,6 +25,7 @@ from personaloom.operators import (
     seeds,
     stats,
 )
+from personaloom.plans import batch_job
 from personaloom.plans.corpus_build import build_corpus
 from personaloom.plans.lineage import ensure_checkpoint_dir
 from personaloom.plans.mention_report import PROFILE_COLUMNS
@@ -414,6 +415,42 @@ def b4_batch_requests(spark, sf):
     return prompts.request_lines(requests, ROW)
 
 
+def _batch_job(spark, sf):
+    """The whole job from two line files, both with broken lines and lines of other shapes."""
+    path = scratch(spark)
+    rows = pairing.number_rows(X.records(spark, sf), list(ROW), "place").withColumn("n", F.col("place") - 1)
+    whole = F.concat(F.lit('{"Unique ID":"'), F.when(F.col("conv_id") % 4 != 1, F.col("unique_id")).otherwise(""), F.lit('","profile":'), profile_json(), F.lit("}"))
+    line = F.when(F.col("n") % 9 == 4, F.substring(whole, 1, 20)).when(F.col("n") % 9 == 7, "[1]").otherwise(whole)
+    rows.orderBy("n").select(line.alias("value")).write.text(f"{path}/profiles")
+    person = F.to_json(F.struct(F.col("lang").alias("Abstract"), F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("Personal_Life")))
+    line = F.when(F.col("doc_id") % 10 == 3, F.substring(person, 1, 12)).otherwise(person)
+    table(spark, sf, "documents").orderBy("doc_id").select(line.alias("value")).write.text(f"{path}/people")
+    return batch_job.prepare_batches(spark, f"{path}/profiles", f"{path}/people", f"{path}/out", MODEL, SYSTEM_PROMPT, MAX_TOKENS)
+
+
+@query
+def b4_batch_job(spark, sf):
+    """Metadata of the job, read back, beside the requests of the same prompt."""
+    done = _batch_job(spark, sf)
+    known = F.from_json("value", "line_number long, custom_id string, real_person_text_input string, user_prompt string")
+    known = done["metadata"].select(known.alias("m")).select("m.*")
+    asked = F.from_json("value", "custom_id string, body struct<messages:array<struct<role:string,content:string>>>")
+    asked = done["requests"].select(asked.alias("r")).groupBy("r.custom_id", F.md5(F.col("r.body.messages")[1]["content"]).alias("prompt_md5"))
+    asked = asked.agg(F.count(F.lit(1)).alias("requests"))
+    known = known.select("line_number", "custom_id", "real_person_text_input", F.md5("user_prompt").alias("prompt_md5"))
+    return known.join(asked, ["custom_id", "prompt_md5"])
+
+
+@query
+def b7_batch_job_counts(spark, sf):
+    done = _batch_job(spark, sf)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    counts = done["counts"].select("prepared", "json_errors", none.alias("error_rows"), none.alias("error_lines"))
+    errors = done["errors"].select(none.alias("prepared"), none.alias("json_errors"), one.alias("error_rows"), F.col("line_number").alias("error_lines"))
+    both = counts.unionByName(errors)
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
+
+
 @query
 def b5_request_metadata(spark, sf):
     meta = prompts.request_metadata(prompt_rows(spark, sf), MODEL, SYSTEM_PROMPT, MAX_TOKENS)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from personaloom.operators import blocks, pairing
+from personaloom.plans import batch_job
 from personaloom.plans.corpus_build import build_corpus, write_corpus
 from personaloom.plans.mention_report import mention_report
 from personaloom.registry import fixtures as X
@@ -133,6 +134,33 @@ def test_mention_plan(spark, sf_dir, tmp_path):
     assert (tmp_path / "details" / "type_name=Blog_News_Article_Comment").exists()
 
 
+def test_batch_job_goes_on_behind_its_marker(spark, tmp_path):
+    profiles = write(tmp_path / "profiles.jsonl", ['{"Unique ID": "p1", "n": 1.50, "é": null}', "{bad", '{"n": 2}', "[1]", '{"Unique ID": "p5"}', '{"Unique ID": "p6"}'])
+    people = write(tmp_path / "people.jsonl", ['{"Abstract": " A ", "Early_Life": "E\\nx"}', "{}", "{}", "{}", "broken"])
+    args = (profiles, people, str(tmp_path / "out"), "m", "Be short.", 9)
+
+    def results():
+        done = batch_job.prepare_batches(spark, *args)
+        lines = {k: sorted(r[0] for r in done[k].collect()) for k in ("requests", "metadata")}
+        return lines, sorted(map(tuple, done["errors"].collect())), tuple(done["counts"].first())
+
+    lines, errors, counts = first = results()
+    assert counts == (2, 3)
+    assert [(n, e, p) for n, e, p, _ in errors] == [(2, "JSON Decode Error", "{bad"), (4, "JSON Decode Error", "[1]"), (5, "JSON Decode Error", '{"Unique ID": "p5"}')]
+    known = {m["line_number"]: m for m in map(json.loads, lines["metadata"])}
+    assert known[1]["synthetic_pii_input"] == {"Unique ID": "p1", "n": 1.5, "é": None}
+    assert known[1]["real_person_text_input"] == "A \n\nE\nx" and known[3]["real_person_text_input"] == ""
+    asked = {r["custom_id"]: r for r in map(json.loads, lines["requests"])}
+    assert set(asked) == {"p1", known[3]["custom_id"]} and len(known[3]["custom_id"]) == 36
+    assert asked["p1"]["body"]["messages"][1]["content"] == known[1]["user_prompt"]
+    assert '{"Unique ID": "p1", "n": 1.50, "é": null}' in known[1]["user_prompt"]
+    # the next calls read what is there: other inputs change nothing, a part without its marker is written again
+    write(tmp_path / "profiles.jsonl", ['{"Unique ID": "other"}'])
+    for part in ("requests", "counts"):
+        (tmp_path / "out" / part / "_SUCCESS").unlink()
+    assert results() == first
+
+
 def test_corpus_stream(spark, sf_dir, tmp_path):
     records = X.records(spark, sf_dir)
     writers.write_table(records, f"{tmp_path}/in")
