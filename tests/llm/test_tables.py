@@ -308,4 +308,4 @@ def test_entry_without_the_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not [n for n in q if n.startswith('op') or n == 'pipeline']; e.oracle_sql()"
     env = os.environ | {"PYTHONPATH": str(tmp_path), "PYTHONDONTWRITEBYTECODE": "1"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES if n.startswith("op")} and "pipeline" in QUERIES
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in QUERIES if n.startswith("op")} and "pipeline" in QUERIES
