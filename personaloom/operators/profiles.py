@@ -29,7 +29,13 @@ from personaloom.functions.draws import (
 from personaloom.operators import catalogue as C
 from personaloom.plans.lineage import fits
 
-POOL_ROWS = 500_000
+POOL_ROWS, POOL_BYTES = 500_000, 20_000_000
+#: Longest list of one locale and kind that travels whole where the pools are larger than that.
+HELD_ROWS, HELD_BYTES = 1_000, 100_000
+#: Ordinals of the catalogue whose weights one task adds up.
+JOB_BLOCK = 4096
+#: Titles and their bytes that are broadcast; levels, bands and buckets repeat them 80 times at most.
+JOB_ROWS, JOB_BYTES = 10_000, 1_000_000
 MIN_AGE, MAX_AGE = 18, 90
 KEY = "profile_key"
 
@@ -93,61 +99,92 @@ def money_text(sign: Column, amount: Column) -> Column:
     return F.concat(sign, F.regexp_replace(cents(amount).cast("string"), "0$", ""))
 
 
+def own_gender() -> Column:
+    return weighted_choice(uniform(KEY, "gender"), *C.GENDERS)
+
+
+def pool_draws() -> dict[str, tuple[Column, str]]:
+    """Per drawn column its kind and its salt. Both follow from the key alone, so all draws can be made at once."""
+
+    def either(salt: str) -> Column:
+        return pick(uniform(KEY, salt), ["male", "female"])
+
+    gender = own_gender()
+    own = F.when(gender == "Male", "male").when(gender == "Female", "female").otherwise(either("first_kind"))
+    plain = {
+        "_company": "company", "_suffix": "company_suffix", "_tld": "tld", "_address": "address", "birth_city": "city",
+        "_user": "user", "_helper_last": "last", "_spouse_last": "last",
+    }
+    return {
+        "first_name": (own, "first_name"),
+        "_birth_name": (F.lit("last"), "last_name"),
+        "_mother": (F.lit("female"), "mother"),
+        "_father": (F.lit("male"), "father"),
+        "_spouse_first": (either("spouse_kind"), "_spouse_first"),
+        "_helper_first": (either("helper_kind"), "_helper_first"),
+        **{column: (F.lit(kind), column) for column, kind in plain.items()},
+    }
+
+
 class _Pools:
     """Draws values from the pool tables.
 
-    Small pools travel as one broadcast row per locale, so a draw is an array
-    look-up and a draw nobody reads costs nothing. Larger pools are joined on
-    (locale, kind, ordinal).
+    Small pools travel as one broadcast row per locale, so a draw is an array look-up and a draw nobody reads
+    costs nothing. Otherwise the lists of up to HELD_ROWS values travel like that, which many people share, and
+    all draws from longer lists are made at once: rows (key, locale, column, kind, ordinal) join the pools in one
+    join and come back as a row per key, before any other column of the profiles exists.
     """
 
     def __init__(self, pools: DataFrame):
         self.pools = pools
-        self.small = fits(pools, POOL_ROWS)
+        self.small = fits(pools, POOL_ROWS, "value", POOL_BYTES)
 
     def attach(self, df: DataFrame) -> DataFrame:
-        if self.small:
-            ordered = F.array_sort(F.collect_list(F.struct("ordinal", "value")))
-            kinds = self.pools.groupBy("locale", "kind").agg(
-                F.transform(ordered, lambda x: x["value"]).alias("held")
-            )
-        else:
-            kinds = self.pools.groupBy("locale", "kind").agg(
-                (F.max("ordinal") + 1).alias("held")
-            )
-        # one row per locale, one map entry per kind
-        by_locale = kinds.groupBy("locale").agg(
-            F.map_from_entries(F.collect_list(F.struct("kind", "held"))).alias("_pools")
+        """Add what draw_all reads: _pools, kind to values, and where pools are large _drawn, column to value."""
+        sized = self.pools.groupBy("locale", "kind").agg(
+            (F.max("ordinal") + 1).alias("n"), F.sum(F.octet_length("value")).alias("bytes")
         )
-        return df.join(F.broadcast(by_locale), "locale", "left")
-
-    def draw_all(self, df: DataFrame, kinds: dict, salts: dict[str, str] | None = None) -> DataFrame:
-        """Add a column per entry of `kinds`, drawn from that kind; the salt is the column name by default."""
-        salts = salts or {}
+        short = F.lit(True) if self.small else (F.col("n") <= HELD_ROWS) & (F.col("bytes") <= HELD_BYTES)
+        ordered = F.array_sort(F.collect_list(F.struct("ordinal", "value")))
+        lists = self.pools
+        if not self.small:
+            lists = lists.join(sized.filter(short).select("locale", "kind"), ["locale", "kind"], "left_semi")
+        held = lists.groupBy("locale", "kind").agg(F.transform(ordered, lambda x: x["value"]).alias("held"))
+        by_locale = held.groupBy("locale").agg(F.map_from_entries(F.collect_list(F.struct("kind", "held"))).alias("_pools"))
+        side = F.broadcast if self.small or fits(held.select(F.explode("held").alias("v")), POOL_ROWS, "v", POOL_BYTES) else (lambda d: d)
+        out = df.join(side(by_locale), "locale", "left")
         if self.small:
-            return df.withColumns({c: self._look_up(k, salts.get(c, c)) for c, k in kinds.items()})
-        for column, kind in kinds.items():
-            df = self._join(df, column, kind, salts.get(column, column))
-        return df
-
-    def _look_up(self, kind: str | Column, salt: str) -> Column:
-        held = F.try_element_at("_pools", kind if isinstance(kind, Column) else F.lit(kind))
-        return F.get(held, F.floor(uniform(KEY, salt) * F.size(held)).cast("int"))
-
-    def _join(self, df: DataFrame, out: str, kind: str | Column, salt: str) -> DataFrame:
-        kind = kind if isinstance(kind, Column) else F.lit(kind)
+            return out
+        long_lists = sized.filter(~short).groupBy("locale").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("_n"))
+        return out.join(self._drawn(df, F.broadcast(long_lists)), [KEY, "locale"], "left")
+
+    def _drawn(self, df: DataFrame, lengths: DataFrame) -> DataFrame:
+        """KEY, locale and _drawn, a map from column to the value drawn from a long list."""
+        draws = pool_draws()
+        wanted = [
+            F.struct(
+                F.lit(column).alias("column"),
+                kind.alias("kind"),
+                F.floor(uniform(KEY, salt) * F.try_element_at("_n", kind)).alias("ordinal"),
+            )
+            for column, (kind, salt) in draws.items()
+        ]
+        asked = df.select(KEY, "locale").distinct().join(lengths, "locale")
+        asked = asked.select(KEY, "locale", F.inline(F.filter(F.array(*wanted), lambda d: d["ordinal"].isNotNull())))
+        values = self.pools.select("locale", "kind", F.col("ordinal").cast("bigint").alias("ordinal"), "value")
+        found = asked.join(values, ["locale", "kind", "ordinal"])
+        # one entry per column, as keys are distinct
+        return found.groupBy(KEY, "locale").agg(F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("_drawn"))
+
+    def draw_all(self, df: DataFrame, *columns: str) -> DataFrame:
+        """Add these columns of pool_draws()."""
+        draws = pool_draws()
+        return df.withColumns({c: self._look_up(c, *draws[c]) for c in columns})
+
+    def _look_up(self, column: str, kind: Column, salt: str) -> Column:
         held = F.try_element_at("_pools", kind)
-        point = uniform(KEY, salt)
-        values = self.pools.select(
-            "locale",
-            F.col("kind").alias("_kind"),
-            F.col("ordinal").cast("bigint").alias("_ordinal"),
-            F.col("value").alias(out),
-        )
-        placed = df.withColumns({"_kind": kind, "_ordinal": F.floor(point * held)})
-        return placed.join(values, ["locale", "_kind", "_ordinal"], "left").drop(
-            "_kind", "_ordinal"
-        )
+        value = F.get(held, F.floor(uniform(KEY, salt) * F.size(held)).cast("int"))
+        return value if self.small else F.coalesce(F.try_element_at("_drawn", F.lit(column)), value)
 
 
 def _years_before(day: date, years: int) -> date:
@@ -164,7 +201,7 @@ def add_person(df: DataFrame, pools: _Pools, asof: date) -> DataFrame:
     born = F.date_add(F.lit(oldest), whole_between(KEY, "birth", 1, span).cast("int"))
     out = df.withColumns(
         {
-            "gender": weighted_choice(uniform(KEY, "gender"), *C.GENDERS),
+            "gender": own_gender(),
             "_born": born,
         }
     )
@@ -175,17 +212,7 @@ def add_person(df: DataFrame, pools: _Pools, asof: date) -> DataFrame:
             "age": (F.lit(asof.year) - F.year("_born") - F.when(late, 1).otherwise(0)).cast("int"),
         }
     ).drop("_born")
-    any_name = pick(uniform(KEY, "first_kind"), ["male", "female"])
-    own = (
-        F.when(F.col("gender") == "Male", "male")
-        .when(F.col("gender") == "Female", "female")
-        .otherwise(any_name)
-    )
-    out = pools.draw_all(
-        out,
-        {"first_name": own, "_birth_name": "last", "_mother": "female", "_father": "male"},
-        {"_birth_name": "last_name", "_mother": "mother", "_father": "father"},
-    )
+    out = pools.draw_all(out, "first_name", "_birth_name", "_mother", "_father")
     space = F.lit(" ")
     return out.withColumns(
         {
@@ -223,8 +250,7 @@ def add_family(df: DataFrame, pools: _Pools) -> DataFrame:
     known = (
         (status == "Married") | ((status == "Widowed") & (u < 0.7)) | ((status == "Divorced") & (u < 0.6))
     )
-    any_kind = pick(uniform(KEY, "spouse_kind"), ["male", "female"])
-    out = pools.draw_all(out, {"_spouse_first": any_kind, "_spouse_last": "last"})
+    out = pools.draw_all(out, "_spouse_first", "_spouse_last")
     suffix = F.when(status == "Widowed", " (Deceased)").when(status == "Divorced", " (Ex)").otherwise("")
     takes = (F.col("gender") == "Female") & (status == "Married") & (uniform(KEY, "takes_name") < 0.8)
     kids = list(range(5))
@@ -244,11 +270,11 @@ def add_family(df: DataFrame, pools: _Pools) -> DataFrame:
 
 
 def eligible_jobs(jobs: DataFrame) -> DataFrame:
-    """Per education level and age band the open jobs with running weights.
+    """Per education level and age band the open jobs: level, band, ord, title, tier, and their interval of weight.
 
-    (level, band, jobs ARRAY<STRUCT<ord, upto, title, tier>>). Bands start at
-    the ages at which further jobs open. Over-qualified people get a lower
-    weight: a fifth from 3 levels up, a hundredth from 5.
+    A job owns the points from `low` up to, not including, `upto`; intervals follow each other in order of
+    `ord`. Bands start at the ages at which further jobs open. Over-qualified people get a lower weight: a fifth
+    from 3 levels up, a hundredth from 5. Weights are added up in blocks of ordinals, and block after block.
     """
     top = len(C.EDUCATION[0]) - 1
     bands = sorted({MIN_AGE, *(row[4] for row in C.TIERS), C.MASTER_AGE, 21})
@@ -261,14 +287,44 @@ def eligible_jobs(jobs: DataFrame) -> DataFrame:
     gap = F.col("level") - F.col("required_level")
     factor = F.when(gap >= 5, 0.01).when(gap >= 3, 0.2).otherwise(1.0)
     weighted = rows.withColumn("_w", F.greatest(F.lit(0.1), F.col("weight") * factor))
-    upto = F.sum("_w").over(Window.partitionBy("level", "band").orderBy("ord"))
-    return (
-        weighted.withColumn("upto", upto)
-        .groupBy("level", "band")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "upto", "title", "tier"))).alias("jobs"))
+    block = ["level", "band", "_block"]
+    inside = Window.partitionBy(block).orderBy("ord")
+    sums = weighted.withColumn("_block", F.floor(F.col("ord") / JOB_BLOCK)).withColumn("_sum", F.sum("_w").over(inside))
+    before = Window.partitionBy("level", "band").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.groupBy(block).agg(F.max("_sum").alias("_all"))
+    starts = starts.select(*block, "_all", F.coalesce(F.sum("_all").over(before), F.lit(0.0)).alias("_start"))
+    total = F.max(F.col("_start") + F.col("_all")).over(Window.partitionBy("level", "band"))
+    placed = sums.withColumn("_below", F.coalesce(F.lag("_sum").over(inside), F.lit(0.0)))
+    return placed.join(starts.select(*block, "_start", total.alias("total")), block).select(
+        "level", "band", "ord", "title", "tier", "total",
+        (F.col("_start") + F.col("_below")).alias("low"), (F.col("_start") + F.col("_sum")).alias("upto"),
     )
 
 
+def choose_jobs(people: DataFrame, jobs: DataFrame, point: Column) -> DataFrame:
+    """Add _job (title, tier), drawn by weight from the jobs open to each person's `level` and `band`.
+
+    Intervals of weight are scaled to shares of the sum, from 0 to 1, and joined with the `point` that falls into
+    them. That range is cut into as many equal buckets as there are jobs, so a person meets about two intervals,
+    however long the catalogue. The intervals are broadcast where they are few. People without an open job get null.
+    """
+    size = jobs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("title")), F.lit(0)).alias("b")).first()
+    buckets = max(1, size["n"])
+
+    def bucket(x: Column) -> Column:
+        return F.least(F.floor(x * buckets), F.lit(buckets - 1).cast("bigint"))
+
+    shares = eligible_jobs(jobs).withColumns({"_low": F.col("low") / F.col("total"), "_upto": F.col("upto") / F.col("total")})
+    spans = shares.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_low")), bucket(F.col("_upto")))))
+    spans = spans.select("level", "band", "_bucket", "_low", "_upto", F.struct("title", "tier").alias("_job"))
+    side = F.broadcast if size["n"] <= JOB_ROWS and size["b"] <= JOB_BYTES else (lambda d: d)
+    aimed = people.withColumn("_point", point).withColumn("_bucket", bucket(F.col("_point"))).alias("p")
+    met = [F.col(f"p.{c}") == F.col(f"s.{c}") for c in ("level", "band", "_bucket")]
+    inside = (F.col("p._point") >= F.col("s._low")) & (F.col("p._point") < F.col("s._upto"))
+    found = aimed.join(side(spans).alias("s"), [*met, inside], "left")
+    return found.select(*[F.col(f"p.{c}") for c in people.columns], F.col("s._job"))
+
+
 def add_work(df: DataFrame, jobs: DataFrame) -> DataFrame:
     """Job title, salary, finance status, net worth and credit score."""
     age = F.col("age")
@@ -276,21 +332,8 @@ def add_work(df: DataFrame, jobs: DataFrame) -> DataFrame:
         F.array(*[F.lit(e) for e in C.EDUCATION[0]]), F.col("education_info")
     ) - 1
     band = F.when(age >= 25, 25).when(age >= 21, 21).otherwise(MIN_AGE)
-    lookup = eligible_jobs(jobs)
-    # at most education levels x age bands rows; their arrays are as long as the catalogue
-    side = F.broadcast if fits(jobs, C.LOOKUP_ROWS) else (lambda d: d)
-    out = df.withColumns({"level": level.cast("int"), "band": band}).join(
-        side(lookup), ["level", "band"], "left"
-    )
-    point = uniform(KEY, "job") * F.element_at("jobs", -1)["upto"]
-    chosen = F.get(F.filter("jobs", lambda j: point < j["upto"]), F.lit(0))
-    out = out.withColumns(
-        {
-            "_job": F.when(F.size("jobs") > 0, chosen),
-            "_rate": _by_locale(3),
-            "_sign": _by_locale(1),
-        }
-    ).drop("jobs", "level", "band")
+    out = choose_jobs(df.withColumns({"level": level.cast("int"), "band": band}), jobs, uniform(KEY, "job"))
+    out = out.withColumns({"_rate": _by_locale(3), "_sign": _by_locale(1)}).drop("level", "band")
     out = out.withColumns({"job_title": F.col("_job.title"), "_tier": F.col("_job.tier")}).drop("_job")
 
     rate = F.col("_rate")
@@ -458,12 +501,7 @@ def add_contacts(df: DataFrame, pools: _Pools) -> DataFrame:
     """Employer, addresses, phones, ids, handles, health and emergency contact."""
     out = add_handles(df)
     out = pools.draw_all(
-        out,
-        {
-            "_user": "user", "_company": "company", "_suffix": "company_suffix", "_tld": "tld",
-            "_address": "address", "birth_city": "city", "_helper_last": "last",
-            "_helper_first": pick(uniform(KEY, "helper_kind"), ["male", "female"]),
-        },
+        out, "_user", "_company", "_suffix", "_tld", "_address", "birth_city", "_helper_last", "_helper_first"
     )
     store = F.col("job_title").isin(C.STORE_JOBS)
     out = out.withColumn(

@@ -734,7 +734,7 @@ def j6_tier_lookup(spark, sf):
 
 @query
 def j7_open_jobs(spark, sf):
-    rows = profiles.eligible_jobs(X.jobs(spark, sf)).select("level", "band", F.inline("jobs"))
+    rows = profiles.eligible_jobs(X.jobs(spark, sf)).select("level", "band", "title", "upto")
     people = table(spark, sf, "customer").select(
         "c_custkey", (F.col("c_custkey") % 10).cast("int").alias("level"),
         F.when(F.col("c_custkey") % 73 >= 7, 25).when(F.col("c_custkey") % 73 >= 3, 21).otherwise(18).alias("band"),

@@ -279,12 +279,54 @@ def test_profiles_keep_their_constraints(spark):
     people.unpersist()
 
 
-def test_large_pools_give_the_same_people(spark, monkeypatch):
+@pytest.mark.parametrize("held", [0, 1000])
+def test_large_pools_give_the_same_people(spark, monkeypatch, held):
     small = generate(spark, 20).collect()
     monkeypatch.setattr(profiles, "POOL_ROWS", 0)
+    monkeypatch.setattr(profiles, "HELD_ROWS", held)
     assert sorted(generate(spark, 20).collect()) == sorted(small)
 
 
+def test_all_draws_are_one_join(spark, monkeypatch):
+    """Long lists are joined once, short ones travel whole; unknown locales and repeated and null keys draw alike."""
+    rows = [("de", "last", i, f"n{i}") for i in range(50)] + [("de", "male", i, f"m{i}") for i in range(3)]
+    pool = spark.createDataFrame(rows, "locale string, kind string, ordinal bigint, value string")
+    keys = spark.createDataFrame([(i, "de") for i in range(40)] + [(3, "de"), (4, "xx"), (None, "de"), (5, None)], f"{profiles.KEY} long, locale string")
+
+    def people():
+        held = profiles._Pools(pool)
+        out = held.draw_all(held.attach(keys), "_birth_name", "_spouse_last", "_father", "_user")
+        return out.select(profiles.KEY, "locale", "_birth_name", "_spouse_last", "_father", "_user")
+
+    small = sorted(map(repr, people().collect()))
+    monkeypatch.setattr(profiles, "POOL_ROWS", 10)
+    monkeypatch.setattr(profiles, "HELD_ROWS", 10)
+    assert sorted(map(repr, people().collect())) == small and len(small) == 44
+    assert people().filter("_birth_name is not null").count() == 41
+
+
+@pytest.mark.parametrize("lookup", [0, 1000])
+def test_jobs_are_drawn_by_intervals(spark, monkeypatch, lookup):
+    """One heavy job, many light ones, several blocks of ordinals: equal to a walk along the running weights."""
+    monkeypatch.setattr(profiles, "JOB_BLOCK", 7)
+    monkeypatch.setattr(profiles, "JOB_ROWS", lookup)
+    titles = [(i, f"t{i}", 500.0 if i == 20 else 0.25 * (1 + i % 5), i % 9, 18 + i % 3) for i in range(60)]
+    jobs = spark.createDataFrame([(*t[:3], None, *t[3:]) for t in titles], "ord int, title string, weight double, tier string, required_level int, min_age int")
+    people = [(i, i % 10, (18, 21, 25)[i % 3], i / 600) for i in range(600)] + [(600, None, 18, 0.5), (601, 3, 18, None)]
+    frame = spark.createDataFrame(people, "id int, level int, band int, u double")
+    got = {r["id"]: r["title"] for r in profiles.choose_jobs(frame, jobs, F.col("u")).select("id", "_job.title").collect()}
+    for i, level, band, u in people:
+        left = [(t, max(0.1, w * (0.01 if level - need >= 5 else 0.2 if level - need >= 3 else 1.0))) for _, t, w, need, age in titles if level is not None and level >= need and band >= age]
+        point, want = (u or 0) * sum(w for _, w in left), None
+        for t, w in left if u is not None else []:
+            want, point = t, point - w
+            if point < -1e-9:
+                break
+        if abs(point) > 1e-6 or want is None:  # a point on an edge may go either way by rounding
+            assert got[i] == want
+    assert len(got) == 602
+
+
 def test_blocks_hold_no_bracket(spark, sf_dir):
     found = X.records(spark, sf_dir).select(F.inline(blocks.raw_blocks(F.col("model_output"))))
     assert found.filter(F.contains("Text", F.lit("[")) | (F.trim("Text") == "")).count() == 0
