@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,6 +10,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+
+
+def release() -> None:
+    """Give memory that is free in this worker back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def bounded(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows whose texts have at most `limit` bytes together, one row at least."""
     for batch in batches:
@@ -21,3 +32,5 @@ def bounded(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1_000_0
             j = max(i + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(i, j - i)
             i, done = j, int(ends[j - 1])
+        release()
+    release()
