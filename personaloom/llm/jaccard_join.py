@@ -139,24 +139,45 @@ def parity(places: np.ndarray) -> np.ndarray:
     return np.packbits(each.astype(np.uint8)).view(np.int64)
 
 
+def fine_parity(places: np.ndarray) -> np.ndarray:
+    """As parity(), of at least as many bits as the set has n-grams: a power of two, 64 or more."""
+    size = 1 << max(6, (len(places) - 1).bit_length())
+    each = np.bincount((mixed(places) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(each.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def fine_apart(a: str, b: str) -> Column:
+    """In how many places fine parity bits differ; the longer ones are folded to the shorter, 0 where that takes two folds."""
+    short = F.least(F.size(a), F.size(b))
+
+    def folded(x: str) -> Column:
+        halves = F.zip_with(F.slice(x, F.lit(1), short), F.slice(x, short + 1, short), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > short, halves).otherwise(F.col(x))
+
+    differ = F.zip_with(folded(a), folded(b), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    near = F.greatest(F.size(a), F.size(b)) <= 2 * short
+    return F.when(near, F.aggregate(differ, F.lit(0), lambda n, d: n + d)).otherwise(0)
+
+
 def bits_apart(a: str, b: str) -> Column:
     return sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITY))
 
 
 def profiles(docs: DataFrame, rule: Rule, levels) -> DataFrame:
-    """The columns of `docs` but text, n (size of the set), node (its id, null for none), its prefix and its parity bits."""
+    """The columns of `docs` but text, n (size of the set), node (its id, null for none), its prefix, its parity bits and the fine ones."""
     kept = [f for f in docs.schema.fields if f.name != "text"]
     names = [f.name for f in kept]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
-            n, node, prefix, bits = [], [], [], []
+            n, node, prefix, bits, fine = [], [], [], [], []
             for found in shingle_sets(batch, rule.n):
                 places = ordered(found, levels.value)
                 n.append(len(places))
                 node.append(set_id(places) if len(places) else None)
                 prefix.append(places[: rule.prefix(len(places))] if len(places) else places)
                 bits.append(parity(places))
+                fine.append(fine_parity(places))
             yield pa.record_batch(
                 [
                     *(batch.column(c) for c in names),
@@ -164,12 +185,13 @@ def profiles(docs: DataFrame, rule: Rule, levels) -> DataFrame:
                     pa.array(node, pa.int64()),
                     list_column(np.concatenate(prefix).view(np.int64), np.array([len(p) for p in prefix]), pa.int64()),
                     list_column(np.concatenate(bits), np.full(len(bits), PARITY), pa.int64()),
+                    list_column(np.concatenate(fine), np.array([len(f) for f in fine]), pa.int64()),
                 ],
-                [*names, "n", "node", "prefix", "bits"],
+                [*names, "n", "node", "prefix", "bits", "fine"],
             )
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInArrow(run, f"{schema}, n bigint, node bigint, prefix array<bigint>, bits array<bigint>")
+    return docs.mapInArrow(run, f"{schema}, n bigint, node bigint, prefix array<bigint>, bits array<bigint>, fine array<bigint>")
 
 
 def segments(docs: DataFrame, rule: Rule, levels, wanted: DataFrame) -> DataFrame:
@@ -227,8 +249,16 @@ def _closest(pairs: DataFrame, end: str, most: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, levels) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) that were counted, and the links (u, v) among them."""
-    done = overlaps(pairs.select("a", "b", "n_a", "n_b"), nodes, docs, rule, levels)
+    """The pairs (a, b) that are settled, and the links (u, v) among them.
+
+    Fine parity bits settle most pairs that don't link; only the sets of the others are fetched and counted.
+    """
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    ends = stored(ends.join(nodes.select("node", "text_key", "fine"), "node"))
+    fine = ends.select("node", "fine")
+    close = pairs.select("a", "b", "n_a", "n_b").join(fine.toDF("a", "fine_a"), "a").join(fine.toDF("b", "fine_b"), "b")
+    close = close.filter(rule.bits_fit(fine_apart("fine_a", "fine_b"), F.col("n_a"), F.col("n_b")))
+    done = overlaps(stored(close.select("a", "b", "n_a", "n_b")), ends, docs, rule, levels)
     links = done.filter(rule.linked(F.col("overlap"), F.col("n_a"), F.col("n_b")))
     return pairs.select("a", "b"), stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
@@ -244,7 +274,7 @@ def _linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
         .groupBy("node")
         .agg(
             F.min("doc_id").alias("rep"),
-            *(F.first(c).alias(c) for c in ("n", "text_key", "prefix", "bits")),
+            *(F.first(c).alias(c) for c in ("n", "text_key", "prefix", "bits", "fine")),
         )
     )
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))

@@ -120,3 +120,20 @@ def test_jaccard_join_of_rows_without_ids(spark):
     got = jaccard_join.similarity_components(docs, Rule(n=3, percent=90))
     want = [(d, n, c) for d, n, c, _ in expected_of(rows, 3, 90)]
     assert ordered(got.collect()) == ordered(want)
+
+
+def test_fine_parity_is_a_lower_bound(spark):
+    """Of sets of any two sizes; close to the truth where the sets are alike."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for n, drop, add in [(1, 0, 0), (1, 1, 1), (64, 0, 1), (65, 5, 0), (1000, 40, 60), (1030, 60, 0), (4000, 600, 600), (300, 299, 0), (5000, 0, 9000)]:
+        a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 62, add, dtype=np.uint64)]))
+        if len(b):
+            apart = len(np.setxor1d(a, b))
+            rows.append((len(a), len(b), apart, jaccard_join.fine_parity(a).tolist(), jaccard_join.fine_parity(b).tolist()))
+    frame = spark.createDataFrame(rows, "n int, m int, apart int, x array<bigint>, y array<bigint>")
+    for r in frame.withColumn("bits", jaccard_join.fine_apart("x", "y")).collect():
+        assert len(r["x"]) * 64 >= r["n"] and r["bits"] <= r["apart"]
+        if r["apart"] <= 0.12 * r["n"]:
+            assert r["bits"] >= 0.75 * r["apart"]
