@@ -115,12 +115,12 @@ def frequency_levels(docs: DataFrame, rule: Rule) -> np.ndarray:
     for row in docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).toArrow().to_batches():
         for chunk, counts in zip(row.column("chunk").to_pylist(), row.column("counts"), strict=True):
             total[chunk * _CHUNK : (chunk + 1) * _CHUNK] = counts.values.to_numpy()
-    return np.searchsorted(np.quantile(total, np.arange(1, 16) / 16), total, "left").astype(np.uint64)
+    return np.searchsorted(np.quantile(total, np.arange(1, 16) / 16), total, "left").astype(np.uint8)
 
 
 def ordered(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """A set's n-grams as places in the global order, ascending."""
-    level = levels[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    level = levels[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
     return distinct(np.sort((level << np.uint64(_LEVEL)) | (found >> np.uint64(64 - _LEVEL))))
 
 
