@@ -90,6 +90,25 @@ def search(tree: Tree, query: np.ndarray, own: int, k: int, floor: tuple[int, in
     return best
 
 
+def exact_search(tree: Tree, query: np.ndarray, own: int, k: int, floor: tuple[int, int] | None) -> list[tuple[int, int]]:
+    """As search(), for numbers whose products floats don't hold: every row of the shard, in whole numbers.
+
+    Scores beyond a long count as its nearest end.
+    """
+    q = [int(x) for x in query]
+    best: list[tuple[int, int]] = []
+    for name, row in zip(tree.ids.tolist(), tree.vectors, strict=True):
+        score = sum(a * int(b) for a, b in zip(q, row, strict=True))
+        pair = (max(-(2**63), min(2**63 - 1, score)), -name)
+        if name == own or (floor is not None and pair < floor):
+            continue
+        if len(best) < k:
+            heapq.heappush(best, pair)
+        elif pair > best[0]:
+            heapq.heapreplace(best, pair)
+    return best
+
+
 def _scaled(vectors: DataFrame) -> DataFrame:
     """vec_id, v (floor of 1024 times each component, as longs) and dim; rows with null or non-finite parts left out.
 
@@ -115,7 +134,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, shard_rows: int = S
     query at most, and a window limit keeps k of them.
 
     Vectors of different lengths never meet. A query with fewer candidates than k gets all. Ties go to the
-    smaller id; rows of the query's own id are no candidates. Scores must stay below 2**53, else it raises.
+    smaller id; rows of the query's own id are no candidates. Where scores may reach 2**53 they are summed as
+    whole numbers, row by row; scores and components beyond a long count as its nearest end.
     """
     rows = stored(_scaled(vectors))
     dims = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -166,10 +186,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, shard_rows: int = S
                 found = []
                 for q in batch.column("queries")[i].as_py():
                     query = np.array(q["v"], np.float64)
-                    if reach * float(np.abs(query).max(initial=0.0)) >= _EXACT:
-                        raise ValueError("scores beyond 2**53 are not exact")
+                    find = exact_search if reach * float(np.abs(query).max(initial=0.0)) >= _EXACT else search
                     floor = (q["score"], -q["vec_id"]) if q.get("score") is not None else None
-                    found += [(q["query_id"], -neg, score) for score, neg in search(tree, query, q["query_id"], k, floor)]
+                    found += [(q["query_id"], -neg, score) for score, neg in find(tree, query, q["query_id"], k, floor)]
                 if found:
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 

@@ -88,6 +88,18 @@ def test_search(spark, shape):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_search(rows, 10, 100)
 
 
+def test_search_with_large_components(spark):
+    """Products beyond what floats hold, in some vectors only; ties that floats would make are none."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 2)).astype(np.float32))]
+    rows += [(i, [1e6 + i / 16, 1e6 - i / 16]) for i in range(300, 420)] + [(500, [-2e6, 1e6]), (501, [3e5, -1e6])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk_search.top_k(frame, k=10, every=100, shard_rows=64, block_queries=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_search(rows, 10, 100)
+    huge = spark.createDataFrame([(100, [1e30, 1.0]), (1, [1e30, 1.0]), (2, [-1e30, 0.0])], "vec_id long, embedding array<float>")
+    assert [(r.vec_id, r.score) for r in topk_search.top_k(huge).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63))]
+
+
 def test_search_without_rows(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk_search.top_k(empty).count() == 0
