@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from personaloom.operators import blocks, catalogue, contamination, pairing, profiles, prompts, relink, sampling
-from personaloom.plans.bits import might_hold
+from personaloom.plans.bits import might_hold, wanted_bits
 from personaloom.registry import fixtures as X
 
 MASTER = [
@@ -62,6 +62,33 @@ def test_short_texts_with_one_inner_word_do_not_meet(spark):
     assert hosts.join(keyed, "key").count() <= 6 * n
 
 
+def test_hosts_make_wanted_keys_only(spark):
+    """Short texts of a hundred shapes: a host makes the keys that texts have, not one per word and shape."""
+    pick = random.Random(7)
+    ends = ["a", "be", "four", "eighteen"]
+    texts = [" ".join([x, *(f"in{pick.randrange(90)}" for _ in range(k)), y]) for k in range(4) for x in ends for y in ends]
+    needles = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "sid string, low string")
+    keyed, shapes = relink._needle_keys(needles)
+    assert len(shapes) > 50
+    wanted = keyed.selectExpr("explode(concat(array(key), parts)) key").distinct()
+    hosts = spark.createDataFrame([(i, f"w{i} x{t}z other words of no text {i}") for i, t in enumerate(texts)], "pos int, low string")
+    made = relink._host_keys(hosts, shapes, wanted_bits(wanted, "key")).select("pos", "key").distinct()
+    found = {(int(r["sid"]), r["pos"]) for r in made.join(keyed, "key").collect()}
+    assert {(i, i) for i in range(len(texts))} <= found
+    assert made.count() <= 6 * len(texts)
+
+
+@pytest.mark.parametrize("lookup_rows", [1_000_000, 0])
+def test_one_word_texts(spark, lookup_rows):
+    """The first host by place, whatever words hold the text; hosts without a place are none; an empty text is in all."""
+    master = [("9", "xab cd", 9), ("3", "q zABz", 3), ("n", "ab", None), ("3", "q zabz", 3), ("5", "\u00e9ab", 5), ("1", None, 1), ("4", "", 4)]
+    texts = ["ab", "cd", "aB", "zz", "", "q", "d", None]
+    m = spark.createDataFrame(master, "id string, text string, pos int")
+    t = spark.createDataFrame([(x,) for x in texts], "text string")
+    got = {r["text"]: r["id"] for r in relink.recover_ids(t, m, lookup_rows=lookup_rows).collect()}
+    assert got == {"ab": "3", "aB": "3", "cd": "9", "": "3", "q": "3", "d": "9"}
+
+
 @pytest.mark.parametrize("lookup_rows", [1_000_000, 0])
 def test_recovery_with_hot_phrases(spark, lookup_rows):
     """A third of the master shares one opening, and so do the texts."""
