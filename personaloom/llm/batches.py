@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
@@ -34,3 +36,18 @@ def bounded(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1_000_0
             i, done = j, int(ends[j - 1])
         release()
     release()
+
+
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Jobs that run inside pass at most `rows` rows at once to Python; executors and workers both hold a whole batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from personaloom.llm.batches import bounded
+from personaloom.llm.batches import bounded, short_batches
 from personaloom.llm.components import components
 from personaloom.llm.storage import stored
 from personaloom.llm.wordhash import NON_SPACE, gram_of, list_column, mixed, words_of
@@ -347,7 +347,8 @@ def similarity_components(docs: DataFrame, rule: Rule | None = None) -> DataFram
     a null id take part in links; a component of null ids only has a null component_id. Repeated rows are copies.
     Other columns are left out.
     """
-    every, named = _linked(docs.select("doc_id", "text"), rule or Rule())
+    with short_batches(docs.sparkSession):
+        every, named = _linked(docs.select("doc_id", "text"), rule or Rule())
     return every.join(named.select("node", "component_id"), "node", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -362,7 +363,8 @@ def one_of_each(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     decided apart from its others: one of them stays as well. Rows without n-grams pass untouched.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    every, named = _linked(keyed, rule or Rule())
+    with short_batches(docs.sparkSession):
+        every, named = _linked(keyed, rule or Rule())
     placed = every.select("doc_id", "key", "node").join(named.select("node", "component"), "node")
     placed = stored(placed.select("doc_id", "key", "component", F.col("doc_id").isNull().alias("nameless")))
     ids = placed.groupBy("component", "nameless", "doc_id").agg(F.count(F.lit(1)).alias("rows"))

@@ -137,3 +137,14 @@ def test_fine_parity_is_a_lower_bound(spark):
         assert len(r["x"]) * 64 >= r["n"] and r["bits"] <= r["apart"]
         if r["apart"] <= 0.12 * r["n"]:
             assert r["bits"] >= 0.75 * r["apart"]
+
+
+def test_jaccard_join_passes_short_batches(spark, monkeypatch):
+    """Batches of the join's jobs are short, whatever the session says, and the session keeps its own setting."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    levels = jaccard_join.frequency_levels
+    monkeypatch.setattr(jaccard_join, "frequency_levels", lambda docs, rule: seen.append(int(spark.conf.get(name))) or levels(docs, rule))
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d")], "doc_id bigint, text string")
+    before = spark.conf.get(name)
+    assert {r["component_id"] for r in jaccard_join.similarity_components(docs).collect()} == {1}
+    assert seen == [2000] and spark.conf.get(name) == before
