@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import heapq
-import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from personaloom.llm.storage import stored
 
 SHARD_ROWS = 4096
 BLOCK_QUERIES = 256
+# Vectors whose trees one task holds at a time, in bytes, and the fewest tasks a core.
+LANE_BYTES = 1 << 25
+LANES_PER_CORE = 16
 _LEAF = 64
 _EXACT = 2.0**53
 
@@ -125,13 +127,65 @@ def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), dim).astype(np.float64)
 
 
+def _answers(batch: pa.RecordBatch, dim: int, trees: list[tuple[Tree, float]], k: int) -> pa.RecordBatch | None:
+    """The pairs of each query of the batch that can be among its k best, from all trees together.
+
+    The kth pair found so far, or the one that came with the query, cuts the search of the next tree.
+    """
+    found = []
+    columns = [batch.column(c).to_pylist() for c in ("id", "score", "vec_id")]
+    for name, score, other, query in zip(*columns, _matrix(batch.column("v"), dim), strict=True):
+        floor = None if score is None else (score, -other)
+        largest, best = float(np.abs(query).max(initial=0.0)), []
+        for tree, reach in trees:
+            find = exact_search if reach * largest >= _EXACT else search
+            best = heapq.nlargest(k, best + find(tree, query, name, k, floor))
+            if len(best) == k:
+                floor = max(floor, best[-1]) if floor else best[-1]
+        found += [(name, -neg, score) for score, neg in best]
+    return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"]) if found else None
+
+
+def _look(k: int, begin: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task: the vectors of a lane's shards, then its queries, row by row. `begin`: a query meets its first shard alone, else all others."""
+
+    def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, parts, trees = None, {}, {}
+
+        def tree(shard: int) -> tuple[Tree, float]:
+            if shard not in trees:
+                ids, vectors = (np.concatenate(x) for x in zip(*parts.pop(shard), strict=True))
+                trees[shard] = build(ids, vectors), float(np.abs(vectors).max(initial=0.0)) * vectors.shape[1]
+            return trees[shard]
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("dim", "lane", "asks", "shard")])
+            edges = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))[: batch.num_rows])
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), batch.num_rows], strict=True):
+                dim, lane, asks, shard = keys[:, a].tolist()
+                if here != (dim, lane):
+                    here, parts, trees = (dim, lane), {}, {}
+                part = batch.slice(a, b - a)
+                if not asks:
+                    parts.setdefault(shard, []).append((part.column("id").to_numpy(), _matrix(part.column("v"), dim)))
+                    continue
+                wanted = [s for s in sorted({*parts, *trees}) if (s == shard) == begin]
+                if (found := _answers(part, dim, [tree(s) for s in wanted], k)) is not None:
+                    yield found
+
+    return look
+
+
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score: the k best inner products of every vector whose id `every` divides.
 
     Vectors are dealt to shards of about `shard_rows` by a hash, whatever their values, and each shard becomes
     one tree. Queries go in blocks. Each block first searches one shard; the kth pair that a query finds there
-    goes along to all other shards, where it cuts the search from the start. Each shard returns k pairs per
-    query at most, and a window limit keeps k of them.
+    goes along to all other shards, where it cuts the search from the start.
+
+    A lane is a few shards: a task gets their vectors, plants the trees and then reads the queries as a stream. So
+    a row holds one vector, never a tree or a block, and a query travels once per lane, not once per shard. Each
+    lane returns k pairs per query at most, and a window limit keeps k of them.
 
     Vectors of different lengths never meet. A query with fewer candidates than k gets all. Ties go to the
     smaller id; rows of the query's own id are no candidates. Where scores may reach 2**53 they are summed as
@@ -139,70 +193,35 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, shard_rows: int = S
     """
     rows = stored(_scaled(vectors))
     dims = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shards = {d: max(1, -(-n // shard_rows)) for d, n in dims.items()}
-    if not shards:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("bigint").alias("score")).limit(0)
-    per_dim = F.create_map(*[F.lit(x) for item in shards.items() for x in item])
-
-    def plant(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}  # the few shards that a hash deals to this task
-
-        def done(key: tuple[int, int]) -> pa.RecordBatch:
-            parts = held.pop(key)
-            tree = build(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            return pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([pickle.dumps(tree)], pa.binary())], ["dim", "shard", "tree"])
-
-        for batch in batches:
-            dim, shard = batch.column("dim").to_numpy(), batch.column("shard").to_numpy()
-            edges = np.flatnonzero(np.append(True, (dim[1:] != dim[:-1]) | (shard[1:] != shard[:-1])))
-            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(dim)], strict=True):
-                key = (int(dim[a]), int(shard[a]))
-                for other in [x for x in held if x != key]:
-                    yield done(other)
-                part = batch.slice(a, b - a)
-                held.setdefault(key, []).append((part.column("vec_id").to_numpy(), _matrix(part.column("v"), key[0])))
-        for key in list(held):
-            yield done(key)
-
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), per_dim[F.col("dim")]))
-    dealt = dealt.select("dim", "shard", F.col("vec_id").cast("bigint").alias("vec_id"), "v")
-    trees = stored(dealt.repartition("dim", "shard").sortWithinPartitions("dim", "shard").mapInArrow(plant, "dim int, shard bigint, tree binary"))
-
     asked = rows.filter(F.col("vec_id") % every == 0)
     blocks = {r["dim"]: max(1, -(-r["n"] // block_queries)) for r in asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not blocks:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("bigint").alias("score")).limit(0)
-    per_block = F.create_map(*[F.lit(x) for item in blocks.items() for x in item])
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), per_block[F.col("dim")]))
-    asked = asked.select("dim", "block", F.col("vec_id").cast("bigint").alias("query_id"), "v")
-    grouped = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))  # about block_queries each
-    grouped = stored(grouped.withColumn("first", F.pmod(F.xxhash64("dim", "block"), per_dim[F.col("dim")])))
-
-    def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tree = pickle.loads(batch.column("tree")[i].as_py())
-                reach = float(np.abs(tree.vectors).max(initial=0.0)) * tree.vectors.shape[1]
-                found = []
-                for q in batch.column("queries")[i].as_py():
-                    query = np.array(q["v"], np.float64)
-                    find = exact_search if reach * float(np.abs(query).max(initial=0.0)) >= _EXACT else search
-                    floor = (q["score"], -q["vec_id"]) if q.get("score") is not None else None
-                    found += [(q["query_id"], -neg, score) for score, neg in find(tree, query, q["query_id"], k, floor)]
-                if found:
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
-
-    schema = "query_id bigint, vec_id bigint, score bigint"
-    here = grouped.join(trees, (grouped["dim"] == trees["dim"]) & (grouped["first"] == trees["shard"])).select("queries", "tree")
-    begun = stored(here.repartition(max(1, sum(blocks.values()))).mapInArrow(look, schema))
+    shards = {d: max(1, -(-dims[d] // shard_rows)) for d in blocks}
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    held = {d: max(1, LANE_BYTES // (8 * shard_rows * max(1, d))) for d in blocks}  # shards of a lane at most
+    lanes = {d: max(-(-n // held[d]), min(n, LANES_PER_CORE * cores)) for d, n in shards.items()}
+
+    def per_dim(numbers: dict[int, int]) -> Column:
+        return F.create_map(*[F.lit(x) for item in numbers.items() for x in item])[F.col("dim")]
+
+    lane = F.pmod(F.col("shard"), per_dim(lanes)).alias("lane")
+    no = F.lit(None).cast("bigint")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), per_dim(shards))).filter(per_dim(shards).isNotNull())
+    dealt = dealt.select("dim", lane, F.lit(0).alias("asks"), "shard", F.col("vec_id").cast("bigint").alias("id"), "v", no.alias("score"), no.alias("vec_id"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), per_dim(blocks)))
+    asked = asked.withColumn("shard", F.pmod(F.xxhash64("dim", "block"), per_dim(shards)))
+    asked = asked.select("dim", F.lit(1).alias("asks"), "shard", F.col("vec_id").cast("bigint").alias("id"), "v")
+
+    def met(queries: DataFrame, begin: bool) -> DataFrame:
+        together = dealt.unionByName(queries).repartition(sum(lanes.values()), "dim", "lane")
+        return together.sortWithinPartitions("dim", "lane", "asks", "shard").mapInArrow(_look(k, begin), "query_id bigint, vec_id bigint, score bigint")
+
+    begun = stored(met(asked.select("*", lane, no.alias("score"), no.alias("vec_id")), begin=True))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = begun.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).drop("rank")
-    known = asked.join(kth, "query_id", "left")
-    known = known.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "v", "score", "vec_id")).alias("queries"))
-    known = known.withColumn("first", F.pmod(F.xxhash64("dim", "block"), per_dim[F.col("dim")]))
-    # every block visits every shard of its length but the one it began with
-    visits = known.withColumn("shard", F.explode(F.sequence(F.lit(0), per_dim[F.col("dim")] - 1))).filter("shard <> first")
-    visits = visits.withColumn("shard", F.col("shard").cast("bigint")).select("dim", "shard", "queries")
-    rest = visits.join(trees, ["dim", "shard"]).select("queries", "tree").mapInArrow(look, schema)
-    every_pair = begun.unionByName(rest)
+    known = asked.join(kth.withColumnRenamed("query_id", "id"), "id", "left")
+    # every query visits every lane of its length, and there every shard but the one it began with
+    visits = known.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("bigint"), per_dim(lanes) - 1)))
+    every_pair = begun.unionByName(met(visits, begin=False))
     return every_pair.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

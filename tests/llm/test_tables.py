@@ -106,6 +106,22 @@ def test_search_without_rows(spark):
     assert topk_search.top_k(spark.createDataFrame([(7, [1.0])], empty.schema)).count() == 0
 
 
+def test_search_moves_single_vectors(spark):
+    """No row holds a tree or a block of queries, so no batch that goes to Python grows with shards times blocks."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(900, 4)).astype(np.float32))]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3, every=9, shard_rows=32, block_queries=5)
+    plan, sent = [got._jdf.queryExecution().analyzed()], []
+    while plan:
+        node = plan.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        plan += children
+        if node.nodeName() == "MapInArrow":
+            sent += [children[0].schema().simpleString()]
+    assert sent and not any("binary" in s or "array<struct" in s for s in sent)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute_search(rows, 3, 9)
+
+
 def test_boxes_cut_the_search():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 4)) * 9
