@@ -128,6 +128,49 @@ def lines(rows):
     return [" ".join(f"w{pick.randrange(3000)}x" for _ in range(60)) for _ in range(rows)]
 
 
+@pytest.mark.parametrize("lookup_rows", [1_000_000, 0])
+def test_recovery_in_parts(spark, monkeypatch, lookup_rows):
+    """A master that is searched part by part, with repeated and missing places, gives what one search gives."""
+    monkeypatch.setattr(relink, "FIRST_ROWS", 2, raising=False)
+    monkeypatch.setattr(relink, "GROWTH", 2, raising=False)
+    pick = random.Random(11)
+    master = [(f"m{i}", " ".join(f"a{pick.randrange(12)}b" for _ in range(pick.randrange(1, 14))), None if i % 11 == 5 else pick.randrange(60)) for i in range(90)]
+    texts = {" ".join(h.split(" ")[a : a + n])[cut:] for _, h, _ in master for a in (0, 1, 3) for n in (1, 2, 3, 5, 9) for cut in (0, 1)} | {h + " tail" for _, h, _ in master}
+    m = spark.createDataFrame(master, "id string, text string, pos int")
+    t = spark.createDataFrame([(x,) for x in sorted(texts)], "text string")
+    got = {r["text"]: r["id"] for r in relink.recover_ids(t, m, lookup_rows=lookup_rows).collect()}
+    want = {}
+    for x in texts:
+        hits = [(p, i) for i, h, p in master if p is not None and (x in h or x.startswith(h))]
+        if hits:
+            want[x] = min(hits)[1]
+    assert {x: got.get(x) for x in want} == want and all(got[x] is None for x in set(got) - set(want))
+
+
+def test_common_short_texts_meet_few_hosts(spark, monkeypatch):
+    """Texts that every host holds are found in the first hosts; the others' hits are not stored and moved."""
+    monkeypatch.setattr(relink, "FIRST_ROWS", 50, raising=False)
+    words = [f"word{i}" for i in range(30)]
+    master = [(str(i), " ".join([*words, f"own{i}"]), i) for i in range(4000)]
+    m = spark.createDataFrame(master, "id string, text string, pos int")
+    t = spark.createDataFrame([(" ".join(words[a : a + n]),) for a in range(25) for n in (2, 3, 4)], "text string")
+    got = []
+    moved = shuffled(spark, lambda: got.extend(relink.recover_ids(t, m).collect()))
+    assert len(got) == 75 and {r["id"] for r in got} == {"0"}
+    assert moved < 1_500_000
+
+
+def test_long_texts_are_moved_a_few_times(spark):
+    """Without any broadcast a long text is moved to be told apart and to be given back, not once for each of its keys or openings."""
+    texts = lines(3000)
+    m = spark.createDataFrame([(str(i), x, i) for i, x in enumerate(texts)], "id string, text string, pos int")
+    t = spark.createDataFrame([(x + " and more",) for x in texts], "text string")
+    got = []
+    moved = shuffled(spark, lambda: got.extend(relink.recover_ids(t, m, lookup_rows=0).collect()))
+    assert len(got) == 3000
+    assert moved < 5 * sum(map(len, texts))
+
+
 def test_short_texts_do_not_move_the_master(spark):
     """One text of one word, whose keys are runs of characters, moves hardly more than texts of many words do."""
     texts = lines(4000)
